@@ -89,7 +89,7 @@ def pending_parents(obs: DataFrame, limit: int = 200) -> DataFrame:
     """
     limit = max(1, min(int(limit), 500))
     waiting = pending(obs)
-    total = waiting.agg(F.count(F.lit(1)).alias("total_observations"))
+    total = waiting.agg(F.count(F.lit(1))).scalar()
     order = [F.desc("observed_at"), F.col("parent_slug"), F.col("child_slug"), F.col("source_url")]
     window = waiting.orderBy(*order).limit(limit)
     item = F.struct((-F.col("observed_at")).alias("age"), "child_slug", "source_url", "source_title",
@@ -97,7 +97,6 @@ def pending_parents(obs: DataFrame, limit: int = 200) -> DataFrame:
     grouped = window.groupBy("parent_slug").agg(
         F.count(F.lit(1)).alias("observation_count"), F.max("observed_at").alias("newest"),
         F.array_sort(F.collect_list(item)).alias("children"))
-    # The total is one row, attached to at most 500 groups.
-    return (grouped.join(total, F.lit(True), "left")
-            .withColumn("parent_name", tx.slug_title("parent_slug"))
+    return (grouped.withColumns({"total_observations": total,
+                                 "parent_name": tx.slug_title("parent_slug")})
             .orderBy(F.desc("newest"), "parent_slug"))

@@ -1,7 +1,7 @@
 """Upserts as folds: existing rows and new rows, one aggregate per key.
 
-New rows carry ``seq`` (any orderable value, larger is later); existing rows
-count as earlier than every new one.  min/max/min_by/max_by all combine
+New rows carry ``seq`` (see ``order_of``, larger is later); existing rows count
+as earlier than every new one.  min/max/min_by/max_by all combine
 map-side, so a key that repeats in a third of the input stays cheap.
 """
 
@@ -16,17 +16,14 @@ from attesta import vocab as V
 from attesta.functions import text as tx
 
 
+_SEQ = "seq STRUCT<at: BIGINT, run_id: STRING, pos: BIGINT>"
+
+
 def _stack(existing: DataFrame, new: DataFrame, ddl: str) -> DataFrame:
     """Both sides in one schema; ``__ord`` sorts existing rows first."""
-    old = S.conform(existing, ddl).withColumn("__old", F.lit(True))
-    add = S.conform(new, ddl).withColumn("__old", F.lit(False))
-    add = add.withColumn("__seq", F.lit(None).cast("bigint")) if "seq" not in new.columns else \
-        S.conform(new, ddl + ", seq STRUCT<at: BIGINT, run_id: STRING, pos: BIGINT>") \
-        .withColumn("__old", F.lit(False)).withColumnRenamed("seq", "__seq")
-    null_seq = F.lit(None).cast("struct<at: bigint, run_id: string, pos: bigint>")
-    old = old.withColumn("__seq", null_seq)
-    return old.unionByName(add, allowMissingColumns=True).withColumn(
-        "__ord", F.struct((~F.col("__old")).alias("new"), "__seq"))
+    old = S.conform(existing.drop("seq"), f"{ddl}, {_SEQ}").withColumn("__new", F.lit(1))
+    add = S.conform(new, f"{ddl}, {_SEQ}").withColumn("__new", F.lit(2))
+    return old.unionByName(add).withColumn("__ord", F.struct("__new", "seq"))
 
 
 def order_of(at: Column | str, run_id: Column | str, pos: Column | str) -> Column:
