@@ -8,18 +8,22 @@ number of observations per entity small while 21 hub parents stay popular.
 
 from __future__ import annotations
 
+from functools import cached_property, lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta import vocab as V
 from attesta.operators import aliases as al
+from attesta.operators import evidence as ev
+from attesta.session import materialize
 
 SLOTS = 20        # entities per part
 HUBS = 21         # parents are n1 .. n21
 
 
 class Views:
-    """Lazily built views; ``v.obs``, ``v.strains``, ``v.sources``, ``v.claims`` …"""
+    """Lazily built views: ``v.obs``, ``v.strains``, ``v.sources``, ``v.claims`` …"""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
@@ -27,6 +31,7 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @lru_cache(maxsize=None)  # noqa: B019 - a Views object lives as long as one query
     def _rows(self, name: str) -> int:
         return self.table(name).count()
 
@@ -100,6 +105,56 @@ class Views:
                     F.when(owns_alias, F.array(F.concat(F.lit("n"), F.col("k") + 1)))
                     .otherwise(F.array().cast("array<string>")).alias("aliases")))
 
+    # Steps that several parts of one query read are written once.
+
+    @cached_property
+    def canon(self) -> DataFrame:
+        return materialize(ev.canonical_observations(self.obs, self.alias_pairs), "canon")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        return materialize(ev.assertion_members(self.canon), "members")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return materialize(ev.derive_edges(self.canon), "edges")
+
+    @cached_property
+    def subject(self) -> DataFrame:
+        """The entity with the most parents (smallest slug on a tie), as ``seed``."""
+        return (self.edges.groupBy("child_slug").agg(F.count(F.lit(1)).alias("n"))
+                .orderBy(F.desc("n"), "child_slug").limit(1)
+                .select(F.col("child_slug").alias("seed")))
+
+    @property
+    def log(self) -> DataFrame:
+        """Events with their numbers as columns: ``at`` (epoch) and ``k``."""
+        return self.table("events").select(
+            "event_id", F.unix_timestamp("ts").alias("at"), "user_id", "event_type",
+            F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+            F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"), "props")
+
+    @property
+    def run_claims(self) -> DataFrame:
+        """Claims of research runs, one per event; ``seq`` is the event id."""
+        k, u = F.col("k"), F.col("user_id")
+        return self.log.select(
+            F.concat(F.lit("r"), u % 40).alias("run_id"), F.col("event_id").alias("seq"),
+            F.concat(F.lit("Query "), u % 40).alias("query"),
+            F.concat("event_type", F.lit(" "), u, F.lit("-"), F.col("event_id") % 97).alias("child"),
+            F.when(k % 29 == 0, "chem-dog").when(k % 31 == 0, "sources as Kush")
+            .otherwise(F.concat(F.lit("Parent "), k % 5)).alias("parent_a"),
+            F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("Mate "), k % 3)).alias("parent_b"),
+            F.when(k % 10 == 0, F.array(F.concat(F.lit("Third "), k % 4)))
+            .otherwise(F.array().cast("array<string>")).alias("extra_parents"),
+            F.when(k % 13 == 0, "").when(k % 11 == 0, F.concat(F.lit("tavily://answer/"), k))
+            .otherwise(F.concat(F.lit("https://www.s"), F.col("event_id") % 7,
+                                F.lit(".example.org/p/"), k)).alias("source_url"),
+            F.lit("").alias("source_title"), F.concat(F.lit("e"), k % 4).alias("source_engine"),
+            F.concat(F.lit("text "), k).alias("snippet_excerpt"),
+            ((300 + k) / 1000.0).alias("confidence"),
+            F.lit(None).cast("map<string,string>").alias("parent_roles"))
+
     @property
     def alias_pairs(self) -> DataFrame:
         return al.alias_pairs(self.strains)

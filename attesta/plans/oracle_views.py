@@ -97,7 +97,44 @@ select child_slug || '|' || source_url as claim_key, child_slug, 'LINEAGE' as ty
 from obs group by child_slug, source_url""",
 }
 
+VIEWS |= {
+    "subject": """
+select child as seed from edges group by 1 order by count(*) desc, child limit 1""",
+    "log": """
+select event_id, cast(epoch(date_trunc('second', ts)) as bigint) as tm, user_id, event_type,
+       cast(round(value * 100) as bigint) as cents,
+       cast(regexp_extract(props, '[0-9]+') as bigint) as k, props
+from events""",
+    "rclaims": """
+select 'r' || (user_id % 40) as run_id, event_id as seq, 'Query ' || (user_id % 40) as query,
+       event_type || ' ' || user_id || '-' || (event_id % 97) as child,
+       case when k % 29 = 0 then 'chem-dog' when k % 31 = 0 then 'sources as Kush'
+            else 'Parent ' || (k % 5) end as parent_a,
+       case when k % 17 = 0 then '' else 'Mate ' || (k % 3) end as parent_b,
+       case when k % 10 = 0 then ['Third ' || (k % 4)] else [] end as extras,
+       case when k % 13 = 0 then '' when k % 11 = 0 then 'tavily://answer/' || k
+            else 'https://www.s' || (event_id % 7) || '.example.org/p/' || k end as source_url,
+       case when k % 13 = 0 or k % 11 = 0 then null else 'example.org' end as domain,
+       'e' || (k % 4) as engine, 300 + k as milli
+from log""",
+    "gated": """
+select *, not quarantined and parent_slug not in (select alias from amap) as gate
+from obs""",
+    "rsets": """
+select run_id, lower(child) as child, seq, list_sort(list_distinct(list_filter(
+       list_concat([parent_a, parent_b], extras), lambda x: x <> ''))) as parents, source_url
+from rclaims""",
+    "rdisputed": """
+select distinct a.run_id, a.child
+from (select distinct run_id, child, parents from rsets) a
+join (select distinct run_id, child, parents from rsets) b
+  on a.run_id = b.run_id and a.child = b.child
+where not list_has_all(a.parents, b.parents) and not list_has_all(b.parents, a.parents)""",
+}
+
 _NEEDS = {
+    "subject": ["edges"], "rclaims": ["log"], "gated": ["obs", "amap"], "rsets": ["rclaims"],
+    "rdisputed": ["rsets"],
     "obs": ["pg"], "amap": ["strains"], "canon": ["obs", "amap"], "members": ["canon"],
     "assertions": ["members"], "psets": ["assertions"], "disputed": ["psets"],
     "dom": ["members"], "edges": ["dom", "disputed", "canon"], "tiers": ["edges", "canon"],
@@ -119,6 +156,5 @@ def with_views(names: str, body: str, **extra: str) -> str:
         visit(name)
     ctes = [f"{n} as materialized ({VIEWS[n]})" for n in order]
     ctes += [f"{n} as ({q})" for n, q in extra.items()]
-    recursive = "recursive " if "recursive" in extra.get("_", "") or any(
-        "union" in q and f" {n} " in q for n, q in extra.items()) else ""
-    return f"with {recursive}" + ",\n".join(ctes) + "\n" + body
+    # RECURSIVE only widens what a CTE may refer to.
+    return "with recursive " + ",\n".join(ctes) + "\n" + body
