@@ -18,7 +18,8 @@ MICRO = 1_000_000
 
 
 def micro(confidence: ColumnOrName) -> Column:
-    return F.round(_c(confidence) * F.lit(float(MICRO))).cast("bigint")
+    # floor(x + 0.5): rounding a double goes through BigDecimal text per row.
+    return F.floor(_c(confidence) * F.lit(float(MICRO)) + 0.5)
 
 
 def mean_milli(total_micro: ColumnOrName, n: ColumnOrName) -> Column:

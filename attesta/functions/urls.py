@@ -16,6 +16,9 @@ def scheme(url: ColumnOrName) -> Column:
     return F.lower(F.regexp_extract(strip(text_of(url)), _SCHEME, 1))
 
 
+_SYNTHESIZED = r"^(?i:" + "|".join(V.SYNTHESIZED_SCHEMES) + "):"
+
+
 def host(url: ColumnOrName) -> Column:
     """Lower-cased host, empty when the text has none."""
     return F.lower(F.translate(F.regexp_extract(strip(text_of(url)), _HOST, 1), "[]", ""))
@@ -23,24 +26,32 @@ def host(url: ColumnOrName) -> Column:
 
 def is_synthesized(url: ColumnOrName) -> Column:
     """A provider's own answer, not an observation of the web."""
-    return scheme(url).isin(*V.SYNTHESIZED_SCHEMES)
+    return strip(text_of(url)).rlike(_SYNTHESIZED)
+
+
+# Last two labels of the host of a URL that is not a synthesized answer.
+_TWO_LABELS = (r"^(?!(?i:" + "|".join(V.SYNTHESIZED_SCHEMES) + r"):)(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//"
+               r"(?:[^/?#]*@)?(?:[^/?#:\[]*\.)?([^/?#:.\[]+\.[^/?#:.]+)(?:[:/?#]|$)")
 
 
 def registrable_domain(url: ColumnOrName) -> Column:
     """eTLD+1 of a URL; NULL for synthesized answers and blanks.
 
-    A text without a host stands for itself, lower-cased.
+    A text without a host stands for itself, lower-cased.  Ordinary URLs take
+    one regular expression; odd hosts and three-label suffixes the long way.
     """
     u = strip(text_of(url))
+    two = F.lower(F.regexp_extract(u, _TWO_LABELS, 1))
     h = host(u)
     dotted = F.trim(F.regexp_replace(h, r"\.+", "."), F.lit("."))
     last_two = F.substring_index(dotted, ".", -2)
-    by_labels = F.nullif(
+    careful = F.nullif(
         F.when(last_two.isin(*V.THREE_LABEL_SUFFIXES), F.substring_index(dotted, ".", -3))
         .otherwise(last_two), F.lit(""))
-    return (F.when(is_synthesized(u) | (u == ""), F.lit(None).cast("string"))
+    return (F.when((two != "") & ~two.isin(*V.THREE_LABEL_SUFFIXES), two)
+            .when(is_synthesized(u) | (u == ""), F.lit(None).cast("string"))
             .when(h == "", F.lower(u))
-            .otherwise(by_labels))
+            .otherwise(careful))
 
 
 def display_host(url: ColumnOrName) -> Column:

@@ -21,6 +21,7 @@ from attesta.functions import numbers as num
 from attesta.functions import text as tx
 from attesta.functions import urls as ur
 from attesta.operators import aliases as al
+from attesta.session import materialize
 
 EDGE_KEY = ("child_slug", "parent_slug")
 
@@ -142,13 +143,15 @@ def conflict_components(members: DataFrame) -> DataFrame:
 
 # --- edges ------------------------------------------------------------------
 
-def derive_edges(canon: DataFrame) -> DataFrame:
+def derive_edges(canon: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Aggregate, agreement, role and age of every canonical edge.
 
-    Expects ``canonical_observations``.  Lists live in ``edge_sources`` and
-    ``edge_domains``; this table is fixed-width however popular an edge is.
+    Expects ``canonical_observations`` and, if at hand, their stored
+    ``assertion_members``, which are read twice.  Lists live in
+    ``edge_sources`` and ``edge_domains``; this table is fixed-width however
+    popular an edge is.
     """
-    members = assertion_members(canon)
+    members = assertion_members(canon) if members is None else members
     domains = (members.withColumn("domain", ur.registrable_domain("source_url"))
                .groupBy(*EDGE_KEY, "domain")
                .agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"),
@@ -253,5 +256,7 @@ def recompute(obs: DataFrame, strains: DataFrame, pairs: DataFrame | None = None
               ) -> tuple[DataFrame, DataFrame]:
     """Full re-derivation: ``(edges, strains)`` from raw observations."""
     canon = canonical_observations(obs, al.alias_pairs(strains) if pairs is None else pairs)
-    edges = derive_edges(canon)
+    canon = materialize(canon, "canon")
+    edges = derive_edges(canon, materialize(assertion_members(canon), "members"))
+    edges = materialize(edges, "edges")
     return edges, apply_tiers(strains, child_tiers(edges, canon))

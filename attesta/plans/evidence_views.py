@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 from attesta import vocab as V
 from attesta.operators import aliases as al
 from attesta.operators import evidence as ev
+from attesta.operators import gate as gt
 from attesta.session import materialize
 
 SLOTS = 20        # entities per part
 HUBS = 21         # parents are n1 .. n21
 
 
+def epoch(column: str) -> F.Column:
+    """Epoch seconds of a zone-less timestamp, whatever the session zone."""
+    days = F.unix_date(F.to_date(column)).cast("bigint")
+    return days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+
+
 class Views:
     """Lazily built views: ``v.obs``, ``v.strains``, ``v.sources``, ``v.claims`` …"""
 
@@ -42,21 +49,28 @@ class Views:
                .otherwise(F.col("url")))
         return self.table("pages").select("page_id", url.alias("source_url"))
 
-    @property
+    @cached_property
     def obs(self) -> DataFrame:
+        return materialize(self._observations(), "obs")
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        """Observations after one pass of the parent gate over all of them."""
+        return materialize(gt.run_gate(self.obs, self.strains, self.obs), "gated")
+
+    def _observations(self) -> DataFrame:
         parts, n_pages = self._rows("part"), self._rows("pages")
         item = self.table("lineitem").select(
             (F.col("l_partkey") + parts * (F.col("l_orderkey") % SLOTS)).alias("child"),
             (F.col("l_suppkey") % 3 + 1 + 3 * (F.col("l_partkey") % 7)).alias("parent"),
             (F.col("l_orderkey") % n_pages).alias("page_id"),
-            F.round(300 + 1000 * F.col("l_discount")).cast("bigint").alias("milli"),
-            F.unix_timestamp("l_shipdate").alias("at"),
-            F.when(F.col("l_linenumber") == 1, "female")
-            .when(F.col("l_linenumber") == 2, "male").alias("role"),
+            F.floor(F.lit(300.5) + 1000 * F.col("l_discount")).alias("milli"),
+            epoch("l_shipdate").alias("at"),
+            F.when(F.col("l_linenumber") <= 2, F.col("l_linenumber")).alias("role"),
             (F.col("l_returnflag") == "R").alias("held"),
         ).filter("child <> parent")
-        # First to one row per (child, parent, page): the page join then moves
-        # far fewer rows and no URL text.
+        # First to one row per (child, parent, page), numbers only: the page
+        # join then moves fewer rows, and the aggregate can hash.
         folded = item.groupBy("child", "parent", "page_id").agg(
             F.max("milli").alias("milli"), F.min("at").alias("at"),
             F.min("role").alias("role"), F.min("held").alias("held"))
@@ -70,8 +84,9 @@ class Views:
                         F.concat(F.lit("e"), F.length("source_url") % 4).alias("engine"),
                         (F.col("milli") / 1000.0).alias("confidence"),
                         F.concat(F.lit("seen in "), "source_url").alias("excerpt"),
-                        "observed_at", "role", "quarantined",
-                        F.lit(None).cast("string").alias("quarantine_reason")))
+                        "observed_at",
+                        F.when(F.col("role") == 1, "female").when(F.col("role") == 2, "male").alias("role"),
+                        "quarantined", F.lit(None).cast("string").alias("quarantine_reason")))
 
     @property
     def strains(self) -> DataFrame:
@@ -117,7 +132,7 @@ class Views:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return materialize(ev.derive_edges(self.canon), "edges")
+        return materialize(ev.derive_edges(self.canon, self.members), "edges")
 
     @cached_property
     def subject(self) -> DataFrame:
@@ -130,8 +145,8 @@ class Views:
     def log(self) -> DataFrame:
         """Events with their numbers as columns: ``at`` (epoch) and ``k``."""
         return self.table("events").select(
-            "event_id", F.unix_timestamp("ts").alias("at"), "user_id", "event_type",
-            F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+            "event_id", epoch("ts").alias("at"), "user_id", "event_type",
+            F.floor(F.col("value") * 100 + 0.5).alias("cents"),
             F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"), "props")
 
     @property

@@ -25,7 +25,7 @@ from attesta.operators import gate as gt
 from attesta.operators import graph as gr
 from attesta.operators import readers as rd
 from attesta.operators import upserts as up
-from attesta.plans.evidence_views import Views
+from attesta.plans.evidence_views import Views, epoch
 from attesta.session import checkpoint_root
 from attesta.sources import ledger as lg
 from attesta.sources import tables as tb
@@ -43,7 +43,7 @@ def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
 
 
 def _milli(c: str) -> F.Column:
-    return F.round(F.col(c) * 1000).cast("bigint")
+    return F.floor(F.col(c) * 1000 + 0.5)
 
 
 # --- scalar rules -----------------------------------------------------------
@@ -125,7 +125,7 @@ def conflict_children(v: Views) -> DataFrame:
 
 @query
 def edge_agreement(v: Views) -> DataFrame:
-    return ev.derive_edges(v.canon).select(
+    return ev.derive_edges(v.canon, v.members).select(
         "child_slug", "parent_slug", "source_count", "domain_count", "avg_milli", "agreement",
         "first_seen", "role")
 
@@ -223,19 +223,18 @@ def alias_resolution(v: Views) -> DataFrame:
 
 @query
 def parent_gate_split(v: Views) -> DataFrame:
-    gated = gt.run_gate(v.obs, v.strains, v.obs)
-    return gated.select("child_slug", "parent_slug", "source_url", "quarantined", "quarantine_reason")
+    return v.gated.select("child_slug", "parent_slug", "source_url", "quarantined", "quarantine_reason")
 
 
 @query
 def claim_gate_sync(v: Views) -> DataFrame:
-    gated = gt.run_gate(v.obs, v.strains, v.obs)
+    gated = v.gated
     return gt.sync_claims(v.claims, gated).select("claim_key", "quarantined", "quarantine_reason")
 
 
 @query
 def pending_parents(v: Views) -> DataFrame:
-    gated = gt.run_gate(v.obs, v.strains, v.obs)
+    gated = v.gated
     return gt.pending_parents(gated, 200).select(
         "parent_slug", "parent_name", "observation_count", "newest", "total_observations",
         F.element_at("children", 1)["child_slug"].alias("first_child"))
@@ -404,7 +403,7 @@ def run_page(v: Views) -> DataFrame:
 
 @query
 def kb_stats(v: Views) -> DataFrame:
-    gated = gt.run_gate(v.obs, v.strains, v.obs)
+    gated = v.gated
     tables = {"strains": v.strains, "claims": v.claims, "lineage_sources": gated,
               "research_runs": _runs(v), "sources": v.sources}
     return rd.kb_stats(tables, v.edges)
@@ -615,7 +614,7 @@ def review_fold(v: Views) -> DataFrame:
     tier = (F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "P", "CONTRADICTED"))
     events = v.table("orders").select(
         F.concat(F.lit("N"), F.col("o_custkey")).alias("slug"), tier.alias("tier"),
-        F.col("o_orderpriority").alias("note"), F.unix_timestamp("o_orderdate").alias("at"),
+        F.col("o_orderpriority").alias("note"), epoch("o_orderdate").alias("at"),
         F.col("o_orderkey").alias("seq"))
     out, _ = cu.apply_reviews(v.strains, v.edges, events)
     return out.select("slug", "curated_tier", "curated_note", "curated_at", "origin", "trust_tier")
@@ -644,7 +643,7 @@ def quarantine_fold_claims(v: Views) -> DataFrame:
 @query
 def resolve_fold(v: Views) -> DataFrame:
     """Every waiting hub is approved under its own name."""
-    gated = gt.run_gate(v.obs, v.strains, v.obs)
+    gated = v.gated
     events = gt.pending(gated).groupBy("parent_slug").agg(F.max("observed_at").alias("at")).select(
         "parent_slug", F.lit("").alias("name"), F.lit("").alias("alias_of"), "at", F.col("at").alias("seq"))
     out = cu.resolve_parents(gated, v.claims, v.strains, events)
@@ -674,8 +673,9 @@ def _folder(v: Views, label: str) -> str:
 
 
 def _event_stream(v: Views) -> DataFrame:
-    path = f"{v.dir}/events.parquet"
-    return v.spark.readStream.schema(v.table("events").schema).parquet(path)
+    raw = (v.spark.readStream.schema(v.table("events").schema)
+           .option("pathGlobFilter", "events.parquet*").parquet(v.dir))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query
