@@ -10,6 +10,6 @@ from attesta.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("attesta-tests", cores="8", partitions=4, memory="6g")
+    session = local_session("attesta-tests", cores="8", partitions=2, memory="6g")
     yield session
     session.stop()
