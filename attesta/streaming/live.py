@@ -30,12 +30,13 @@ def spend_by_window(passes: DataFrame, width: str = "1 day", time_col: str = "ts
 _OUT = "cache_key STRING, at BIGINT, request_id BIGINT, outcome STRING"
 
 
-def classify_stream(requests: DataFrame, ttl: int) -> DataFrame:
+def classify_stream(requests: DataFrame, ttl: int, late: str = "1 hour") -> DataFrame:
     """hit / expired / miss for ``(cache_key, at, request_id)`` as requests arrive.
 
     A request that finds nothing live fetches and stores, so the only state of
     a key is when its blob expires; rows of a key are walked batch by batch
-    with that one number.  The state leaves with the blob.
+    with that one number.  The state leaves once event time has passed the
+    blob's expiry by ``late``.
     """
 
     def walk(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -54,10 +55,11 @@ def classify_stream(requests: DataFrame, ttl: int) -> DataFrame:
                 expires = at + ttl
             yield pdf.assign(outcome=outcomes)[["cache_key", "at", "request_id", "outcome"]]
         state.update((int(expires),))
-        state.setTimeoutDuration(max(1, ttl) * 1000)
+        state.setTimeoutTimestamp(max(int(expires) * 1000, state.getCurrentWatermarkMs() + 1))
 
-    return (requests.select("cache_key", "at", "request_id").groupBy("cache_key")
-            .applyInPandasWithState(walk, _OUT, "expires BIGINT", "append", "ProcessingTimeTimeout"))
+    timed = requests.select("cache_key", "at", "request_id", F.timestamp_seconds("at").alias("ts"))
+    return (timed.withWatermark("ts", late).groupBy("cache_key")
+            .applyInPandasWithState(walk, _OUT, "expires BIGINT", "append", "EventTimeTimeout"))
 
 
 def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",

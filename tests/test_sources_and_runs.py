@@ -238,7 +238,7 @@ def test_frontier(spark):
 
 
 def test_streams(spark, tmp_path):
-    req = [("k", 0, 1), ("k", 50, 2), ("k", 100, 3), ("j", 5, 4), ("k", 150, 5), ("k", 260, 6)]
+    req = [("k", 1000, 1), ("k", 1050, 2), ("k", 1100, 3), ("j", 1005, 4), ("k", 1150, 5), ("k", 1260, 6)]
     for i in (0, 3):
         spark.createDataFrame(req[i:i + 3], "cache_key string, at long, request_id long").coalesce(1) \
             .write.mode("append").parquet(str(tmp_path / "req"))
