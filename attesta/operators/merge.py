@@ -81,7 +81,8 @@ def merge_runs(tables: dict[str, DataFrame], docs: DataFrame, raw: DataFrame | N
     ``tables``: strains, sources, lineage_sources, claims, research_runs.
     ``raw(run_id, query, title, url, snippet, source)`` lets a subject without
     any summary take a verbatim one from its own run's evidence.  The result
-    also holds the re-derived ``lineage_edges``.
+    also holds the re-derived ``lineage_edges`` and ``touched(run_id, slug)``,
+    the entities each run created or refreshed.
     """
     strains = S.conform(al.seed_aliases(S.conform(tables["strains"], S.STRAINS)), S.STRAINS)
     strains = ex.drop_off_subject_summaries(ex.drop_lead_images(strains))
@@ -167,7 +168,8 @@ def merge_runs(tables: dict[str, DataFrame], docs: DataFrame, raw: DataFrame | N
         "seq", up.order_of("completed_at", "id", F.lit(0))))
     edges, entities = ev.recompute(observations, entities)
     return {"strains": entities, "sources": sources, "lineage_sources": observations,
-            "claims": all_claims, "research_runs": runs, "lineage_edges": edges}
+            "claims": all_claims, "research_runs": runs, "lineage_edges": edges,
+            "touched": touches.select("run_id", "slug").distinct()}
 
 
 def fill_summaries(entities: DataFrame, touched: DataFrame, docs: DataFrame, raw: DataFrame) -> DataFrame:
@@ -202,7 +204,7 @@ def merge_counts(before: dict[str, DataFrame], after: dict[str, DataFrame], docs
     edges = claims.select(F.size(F.filter(F.concat(
         F.array("parent_a", "parent_b"), F.coalesce("extra_parents", F.array().cast("array<string>"))),
         lambda p: tx.text_of(p) != "")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("v"))
-    touched = _names(docs, claims).select("run_id", "slug").distinct().agg(F.count(F.lit(1)).alias("v"))
+    touched = after["touched"].agg(F.count(F.lit(1)).alias("v"))
     added = after["claims"].join(before["claims"].select("child_slug", "value", "source_url"),
                                  ["child_slug", "value", "source_url"], "left_anti") \
         .agg(F.count(F.lit(1)).alias("v"))

@@ -40,5 +40,6 @@ def read_kb(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def write_kb(tables: dict[str, DataFrame], root: str) -> None:
     """Write one consistent version of every table under a new root."""
-    for name, df in tables.items():
-        write_table(df, root, name)
+    for name in TABLES:
+        if name in tables:
+            write_table(tables[name], root, name)

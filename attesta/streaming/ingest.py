@@ -57,8 +57,8 @@ def merge_batches(root: str, raw: DataFrame | None = None):
                             .join(done, "run_id", "left_anti"), "docs")
         merged = mg.merge_runs(now, fresh, raw)
         path = _version(root, batch_id)
-        for name, df in merged.items():
-            tb.write_table(df, path, name, mode="overwrite")
+        for name in tb.TABLES:
+            tb.write_table(merged[name], path, name, mode="overwrite")
         _commit(spark, path)
 
     return merge
