@@ -61,6 +61,51 @@ JUDGED = f"""{MEASURED},
            coalesce(h.fails, '') as host_fails
     from measured m left join listed h on m.source is not distinct from h.source)"""
 
+_KEYWORDS = ("[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"
+             "|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
+_ASSIGN = f"({_KEYWORDS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _secret_hits(rank: int, pattern: str, group: int) -> str:
+    return f"""
+    select rid, owner, repo, {rank} as rank, k, length(gaps[k]) as gap, length(found[k]) as len, vals[k] as v
+    from (select rid, owner, repo, gaps, found, vals, unnest(range(1, len(found) + 1)) as k
+          from (select rid, owner, repo, string_split_regex(t, '{pattern}') as gaps,
+                       regexp_extract_all(t, '{pattern}') as found,
+                       regexp_extract_all(t, '{pattern}', {group}) as vals
+                from srows where regexp_matches(t, '{pattern}')))"""
+
+
+_LIVE = ("regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]') "
+         "and len(list_distinct(string_split(v, ''))) >= 8")
+
+SECRETS = f"""
+with srows as (select row_number() over () as rid, source as owner, doc_id as repo, coalesce(text, '') as t
+               from documents),
+  hits as ({_secret_hits(0, _ASSIGN, 2)} union all {_secret_hits(1, 'AKIA[A-Z0-9]{16,}', 0)}
+           union all {_secret_hits(2, '[0-9a-f]{24,}', 0)} union all {_secret_hits(3, '[A-Za-z0-9+/_=-]{20,}', 0)}),
+  placed as (select *, coalesce(sum(gap + len) over (partition by rid, rank order by k
+                       rows between unbounded preceding and 1 preceding), 0) + gap as s from hits),
+  cands as (select rid, owner, repo, rank, s::bigint as s, (s + len)::bigint as e, v from placed
+            where length(v) >= [6, 20, 24, 20][rank + 1]),
+  lone as (select * from cands c where rank < 3 or ({_LIVE} and not exists (
+             select 1 from cands b where b.rid = c.rid and b.rank < 3 and b.s < c.e and b.e > c.s))),
+  owned as (select v, count(distinct coalesce(owner, chr(1))) as owners from lone group by v),
+  marked as (select l.*, owners, ({_LIVE}) and owners <= 2 as live,
+                    ['assign', 'access', 'hex', 'token'][rank + 1] || ':' || s || ':' || e as label
+             from lone l join owned using (v)),
+  listed as (select rid, count(*) filter (where rank = 0) as n0, count(*) filter (where rank = 1) as n1,
+                    count(*) filter (where rank = 2) as n2,
+                    string_agg(label, ',' order by s, rank) filter (where rank < 3) as base,
+                    string_agg(label, ',' order by s, rank) as spans,
+                    count(*) filter (where live) as n_live, count(*) filter (where owners > 2) as n_example
+             from marked where rank < 3 or live group by rid)
+select repo as doc_id, coalesce(n0, 0)::bigint as n_assign, coalesce(n1, 0)::bigint as n_access,
+       coalesce(n2, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_live, 0)::bigint as n_live, coalesce(n_example, 0)::bigint as n_example
+from srows left join listed using (rid)"""
+
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": SECRETS,
     "op1_host_quality": f"with {JUDGED} select * exclude (rid) from judged",
 }

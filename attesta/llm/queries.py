@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import host_quality, mixing, range_shards
+from attesta.llm import host_quality, mixing, range_shards, secret_scan
 from attesta.llm.common import read, tagged
 
 
@@ -29,8 +29,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"])
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op3_range_shards": op3_range_shards,
     "op4_mixing": op4_mixing,
+    "op5_secret_scan": op5_secret_scan,
 }
