@@ -105,7 +105,17 @@ select repo as doc_id, coalesce(n0, 0)::bigint as n_assign, coalesce(n1, 0)::big
        coalesce(n_live, 0)::bigint as n_live, coalesce(n_example, 0)::bigint as n_example
 from srows left join listed using (rid)"""
 
+EXACT = r"""
+with rows as (select row_number() over () as rid, doc_id, coalesce(text, '') as t,
+                     regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents)
+select doc_id, first_value(doc_id) over g as keep_id, count(*) over (partition by norm)::bigint as group_size,
+       first_value(rid) over g = rid as kept, sha256(norm) as text_sha256
+from rows
+window g as (partition by norm order by length(t) desc, doc_id nulls last, rid
+             rows between unbounded preceding and unbounded following)"""
+
 ORACLES: dict[str, str] = {
     "op5_secret_scan": SECRETS,
+    "op6_chunk_dedup": EXACT,
     "op1_host_quality": f"with {JUDGED} select * exclude (rid) from judged",
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import host_quality, mixing, range_shards, secret_scan
+from attesta.llm import chunk_dedup, host_quality, mixing, packing, range_shards, secret_scan
 from attesta.llm.common import read, tagged
 
 
@@ -33,9 +33,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op3_range_shards": op3_range_shards,
     "op4_mixing": op4_mixing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_chunk_dedup": op6_chunk_dedup,
+    "op7_packing": op7_packing,
 }
