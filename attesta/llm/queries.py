@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import chunk_dedup, host_quality, mixing, packing, range_shards, secret_scan
+from attesta.llm import (
+    chunk_dedup, host_quality, line_dedup, mixing, packing, range_shards, secret_scan,
+)
 from attesta.llm.common import read, tagged
 
 
@@ -41,6 +43,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op3_range_shards": op3_range_shards,
@@ -48,4 +54,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_packing": op7_packing,
+    "op8_line_dedup": op8_line_dedup,
 }
