@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm import (
-    chunk_dedup, host_quality, line_dedup, mixing, packing, range_shards, secret_scan,
+    chunk_dedup, host_quality, labelled, line_dedup, mixing, packing, quality_nbsvm, range_shards,
+    secret_scan, toxicity,
 )
 from attesta.llm.common import read, tagged
 
@@ -47,6 +48,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels, labelled.fold(F.col("doc_id"), 5) != 0)
+    return toxicity.score(docs, model)
+
+
+def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality_nbsvm.fit(docs, labels, labelled.fold(F.col("doc_id"), 4) != 2)
+    return quality_nbsvm.score(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op3_range_shards": op3_range_shards,
@@ -55,4 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_packing": op7_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_nbsvm": op10_quality_nbsvm,
 }
