@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm import (
-    chunk_dedup, host_quality, labelled, line_dedup, mixing, packing, quality_nbsvm, range_shards,
-    secret_scan, toxicity,
+    chunk_dedup, host_quality, labelled, line_dedup, minhash_forest, mixing, packing, quality_nbsvm,
+    range_shards, secret_scan, toxicity,
 )
 from attesta.llm.common import read, tagged
 
@@ -20,6 +20,10 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *host_quality.METRICS, "base_failed", "kept", "host_fails")
 
 
+def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.join(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("_r1", "_r2")
+
+
 def op3_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = range_shards.shard_documents(docs, 8, keep=["doc_id"])
@@ -64,6 +68,7 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
+    "op2_minhash_forest": op2_minhash_forest,
     "op3_range_shards": op3_range_shards,
     "op4_mixing": op4_mixing,
     "op5_secret_scan": op5_secret_scan,

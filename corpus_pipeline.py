@@ -1,24 +1,59 @@
-"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, packing."""
+"""The corpus pipeline: quality rules, line dedup, near duplicates, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
+read again as the next stage's documents.
+"""
 
 from __future__ import annotations
 
-from attesta.llm import host_quality
+from pyspark.sql import DataFrame, SparkSession
+
+from attesta.llm import host_quality, line_dedup, minhash_forest, mixing, packing
+from attesta.session import materialize
 
 
-def quality_rules(spark, docs, sf_dir):
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rule and whose host has no bad verdict."""
     measured = host_quality.measure(docs)
     judged = host_quality.judge(measured, host_quality.host_verdicts(measured))
     return judged.filter("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules)]
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later repeated runs of lines; a document of nothing else goes."""
+    out = line_dedup.dedup_lines(docs)
+    return out.filter(r"n_deleted = 0 or text rlike '[^\\x20\\x09-\\x0D]'").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates."""
+    return minhash_forest.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and drops documents so that each source has its target share of words."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", without_repeated_lines),
+    ("n-gram jaccard join", one_of_each_group),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
 
+#: Signatures and tokenizers are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
