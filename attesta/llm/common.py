@@ -70,3 +70,14 @@ def chunked(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Co
     joined = df.join(totals, on, "left")
     keep = [df[c] for c in df.columns if c != "_chunk" and not c.startswith("_i_")]
     return joined.select(*keep, *[(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])
+
+
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns, and all others in one column ``_doc``, safe from clashing names."""
+    others = [F.col(c) for c in docs.columns if c not in used] or [F.lit(None).cast("int").alias("none")]
+    return docs.select(F.struct(*others).alias("_doc"), *used)
+
+
+def unpacked(rows: DataFrame, columns: Sequence[str], *used: str) -> DataFrame:
+    """The original columns in their order, the used ones as they are now."""
+    return rows.select(*[F.col(c) if c in used else F.col("_doc").getField(c).alias(c) for c in columns])
