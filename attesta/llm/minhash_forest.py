@@ -306,7 +306,9 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", target: fl
     members = (groups.join(sizes, "comp", "inner")
                .join(reps.select("rep", "weight", "_k1", "_k2"), "rep", "inner"))
     members = materialize(members, "members")
-    texts = (docs.select(t.alias("_text"), *row_keys(t)).join(members.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
+    # The members grow with the corpus, so the plan is the same at every size: both sides are dealt out.
+    texts = (docs.select(t.alias("_text"), *row_keys(t))
+             .join(members.select("_k1", "_k2").hint("merge"), ["_k1", "_k2"], "left_semi")
              .dropDuplicates(["_k1", "_k2"]))
     rows = _blocks(members.join(texts, ["_k1", "_k2"], "inner"), "members", GROUP_BLOCK)
     checked = (rows.select("comp", "i", "j", "rep", "weight", "block", "_text")
