@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -170,27 +171,24 @@ def mentions(haystack: ColumnOrName, name: ColumnOrName) -> Column:
 
 
 def article_score(title: ColumnOrName, snippet: ColumnOrName, query: ColumnOrName) -> Column:
-    """Relevance of an encyclopedia hit for the full-article pass."""
+    """Relevance of an encyclopedia hit for the full-article pass: points of the fixed tables."""
     t, s = F.lower(text_of(title)), F.lower(text_of(snippet))
-    score = F.lit(0)
-    for hint in V.ARTICLE_HINTS:
-        score = score + F.when(F.contains(t, F.lit(hint)), 3).when(
-            F.contains(s, F.lit(hint)), 1).otherwise(0)
-    paren = F.lit("(cannabis")
-    score = score + F.when(F.contains(t, paren) | F.contains(s, paren), 25).otherwise(0)
-    stub = F.contains(t, F.lit("disambiguation")) | F.contains(F.left(s, F.lit(200)),
-                                                              F.lit("may refer to"))
-    score = score - F.when(stub, 30).otherwise(0)
-    tokens = F.filter(F.array_distinct(F.split(F.lower(strip(text_of(query))), WS + "+")),
-                      lambda w: w != "")
-    score = score + F.aggregate(
-        tokens, F.lit(0),
-        lambda acc, w: acc + F.when(F.contains(t, w), 5).when(F.contains(s, w), 1).otherwise(0))
-    head = F.left(s, F.lit(300))
-    for word in V.ARTICLE_NEGATIVES:
-        score = score - F.when(F.contains(t, F.lit(word)) | F.contains(head, F.lit(word)),
-                               8).otherwise(0)
-    return score
+
+    def has(c: Column, word) -> Column:
+        return F.contains(c, F.lit(word) if isinstance(word, str) else word).cast("int")
+
+    def better(word, points: tuple[int, int]) -> Column:
+        return F.greatest(has(t, word) * points[0], has(s, word) * points[1])
+
+    asked = F.filter(F.array_distinct(F.split(F.lower(strip(text_of(query))), WS + "+")), lambda w: w != "")
+    start = F.left(s, F.lit(V.ARTICLE_NEGATIVE_CHARS))
+    stub = F.greatest(has(t, V.ARTICLE_STUB_TITLE), has(F.left(s, F.lit(V.ARTICLE_STUB_CHARS)), V.ARTICLE_STUB_TEXT))
+    parts = [better(word, V.ARTICLE_HINT_POINTS) for word in V.ARTICLE_HINTS]
+    parts += [F.greatest(has(t, w), has(start, w)) * V.ARTICLE_NEGATIVE_POINTS for w in V.ARTICLE_NEGATIVES]
+    parts += [F.greatest(has(t, V.ARTICLE_MARK), has(s, V.ARTICLE_MARK)) * V.ARTICLE_MARK_POINTS,
+              stub * V.ARTICLE_STUB_POINTS]
+    fixed = reduce(lambda a, b: a + b, parts)
+    return fixed + F.aggregate(asked, F.lit(0), lambda total, w: total + better(w, V.ARTICLE_QUERY_POINTS))
 
 
 def claim_confidence(snippet: ColumnOrName, excerpt: ColumnOrName, matched: ColumnOrName) -> Column:
@@ -207,12 +205,6 @@ def claim_confidence(snippet: ColumnOrName, excerpt: ColumnOrName, matched: Colu
 
 # --- markup -----------------------------------------------------------------
 
-_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"),
-             ("&lt;", "<"), ("&gt;", ">"))
-_LABEL_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"),
-                   ("&quot;", '"'), ("&nbsp;", " "))
-
-
 def _decode(c: Column, entities) -> Column:
     for entity, char in entities:
         c = F.replace(c, F.lit(entity), F.lit(char))
@@ -222,13 +214,13 @@ def _decode(c: Column, entities) -> Column:
 def html_to_text(html: ColumnOrName) -> Column:
     """Visible text of a page: scripts and styles out, tags to blanks."""
     body = F.regexp_replace(text_of(html), r"(?is)<(script|style)[^>]*>.*?</\1>", "")
-    return strip(squeeze(_decode(F.regexp_replace(body, r"<[^>]+>", " "), _ENTITIES)))
+    return strip(squeeze(_decode(F.regexp_replace(body, r"<[^>]+>", " "), V.PAGE_ENTITIES)))
 
 
 def label_text(html: ColumnOrName) -> Column:
     """Text of an inline fragment: tags vanish instead of becoming blanks."""
     return strip(squeeze(_decode(F.regexp_replace(text_of(html), r"<[^>]+>", ""),
-                                 _LABEL_ENTITIES)))
+                                 V.LABEL_ENTITIES)))
 
 
 # --- assertion texts --------------------------------------------------------

@@ -8,19 +8,22 @@ number of observations per entity small while 21 hub parents stay popular.
 
 from __future__ import annotations
 
-from functools import cached_property, lru_cache
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from attesta import vocab as V
 from attesta.operators import aliases as al
 from attesta.operators import evidence as ev
 from attesta.operators import gate as gt
-from attesta.session import materialize
+from attesta.session import write_step
 
 SLOTS = 20        # entities per part
 HUBS = 21         # parents are n1 .. n21
+_SHARED: dict[tuple[str, str], Views] = {}
 
 
 def epoch(column: str) -> F.Column:
@@ -34,6 +37,27 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._steps: dict = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Views:
+        """The views of one folder, with their stored steps shared by all queries of a session."""
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in _SHARED:
+            _SHARED[key] = cls(spark, sf_dir)
+        return _SHARED[key]
+
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A step that is written once; written anew if its folder has gone."""
+        if name in self._steps:
+            try:
+                path, schema = self._steps[name]
+                return self.spark.read.schema(schema).parquet(path)
+            except AnalysisException:
+                pass
+        df = make()
+        self._steps[name] = write_step(df, name), df.schema
+        return self._stored(name, make)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -49,14 +73,14 @@ class Views:
                .otherwise(F.col("url")))
         return self.table("pages").select("page_id", url.alias("source_url"))
 
-    @cached_property
+    @property
     def obs(self) -> DataFrame:
-        return materialize(self._observations(), "obs")
+        return self._stored("obs", self._observations)
 
-    @cached_property
+    @property
     def gated(self) -> DataFrame:
         """Observations after one pass of the parent gate over all of them."""
-        return materialize(gt.run_gate(self.obs, self.strains, self.obs), "gated")
+        return self._stored("gated", lambda: gt.run_gate(self.obs, self.strains, self.obs))
 
     def _observations(self) -> DataFrame:
         parts, n_pages = self._rows("part"), self._rows("pages")
@@ -122,19 +146,19 @@ class Views:
 
     # Steps that several parts of one query read are written once.
 
-    @cached_property
+    @property
     def canon(self) -> DataFrame:
-        return materialize(ev.canonical_observations(self.obs, self.alias_pairs), "canon")
+        return self._stored("canon", lambda: ev.canonical_observations(self.obs, self.alias_pairs))
 
-    @cached_property
+    @property
     def members(self) -> DataFrame:
-        return materialize(ev.assertion_members(self.canon), "members")
+        return self._stored("members", lambda: ev.assertion_members(self.canon))
 
-    @cached_property
+    @property
     def edges(self) -> DataFrame:
-        return materialize(ev.derive_edges(self.canon, self.members), "edges")
+        return self._stored("edges", lambda: ev.derive_edges(self.canon, self.members))
 
-    @cached_property
+    @property
     def subject(self) -> DataFrame:
         """The entity with the most parents (smallest slug on a tie), as ``seed``."""
         return (self.edges.groupBy("child_slug").agg(F.count(F.lit(1)).alias("n"))
@@ -151,20 +175,25 @@ class Views:
 
     @property
     def run_claims(self) -> DataFrame:
-        """Claims of research runs, one per event; ``seq`` is the event id."""
-        k, u = F.col("k"), F.col("user_id")
+        """Claims of research runs, one per event; ``seq`` is the event id.
+
+        Every fourth user always names the same parents, on three sites.
+        """
+        u = F.col("user_id")
+        k = F.col("k")
+        names = F.when(u % 4 == 0, u).otherwise(k)
         return self.log.select(
             F.concat(F.lit("r"), u % 40).alias("run_id"), F.col("event_id").alias("seq"),
             F.concat(F.lit("Query "), u % 40).alias("query"),
-            F.concat("event_type", F.lit(" "), u, F.lit("-"), F.col("event_id") % 97).alias("child"),
+            F.concat("event_type", F.lit(" "), u, F.lit("-"), F.col("event_id") % 3).alias("child"),
             F.when(k % 29 == 0, "chem-dog").when(k % 31 == 0, "sources as Kush")
-            .otherwise(F.concat(F.lit("Parent "), k % 5)).alias("parent_a"),
-            F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("Mate "), k % 3)).alias("parent_b"),
-            F.when(k % 10 == 0, F.array(F.concat(F.lit("Third "), k % 4)))
+            .otherwise(F.concat(F.lit("Parent "), names % 5)).alias("parent_a"),
+            F.when(k % 17 == 0, "").otherwise(F.concat(F.lit("Mate "), names % 3)).alias("parent_b"),
+            F.when((k % 10 == 0) & (u % 4 != 0), F.array(F.concat(F.lit("Third "), k % 4)))
             .otherwise(F.array().cast("array<string>")).alias("extra_parents"),
             F.when(k % 13 == 0, "").when(k % 11 == 0, F.concat(F.lit("tavily://answer/"), k))
             .otherwise(F.concat(F.lit("https://www.s"), F.col("event_id") % 7,
-                                F.lit(".example.org/p/"), k)).alias("source_url"),
+                                F.lit(".example"), F.col("event_id") % 3, F.lit(".org/p/"), k)).alias("source_url"),
             F.lit("").alias("source_title"), F.concat(F.lit("e"), k % 4).alias("source_engine"),
             F.concat(F.lit("text "), k).alias("snippet_excerpt"),
             ((300 + k) / 1000.0).alias("confidence"),

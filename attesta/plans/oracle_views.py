@@ -107,14 +107,14 @@ select event_id, cast(epoch(date_trunc('second', ts)) as bigint) as tm, user_id,
 from events""",
     "rclaims": """
 select 'r' || (user_id % 40) as run_id, event_id as seq, 'Query ' || (user_id % 40) as query,
-       event_type || ' ' || user_id || '-' || (event_id % 97) as child,
+       event_type || ' ' || user_id || '-' || (event_id % 3) as child,
        case when k % 29 = 0 then 'chem-dog' when k % 31 = 0 then 'sources as Kush'
-            else 'Parent ' || (k % 5) end as parent_a,
-       case when k % 17 = 0 then '' else 'Mate ' || (k % 3) end as parent_b,
-       case when k % 10 = 0 then ['Third ' || (k % 4)] else [] end as extras,
+            else 'Parent ' || ((case when user_id % 4 = 0 then user_id else k end) % 5) end as parent_a,
+       case when k % 17 = 0 then '' else 'Mate ' || ((case when user_id % 4 = 0 then user_id else k end) % 3) end as parent_b,
+       case when k % 10 = 0 and user_id % 4 <> 0 then ['Third ' || (k % 4)] else [] end as extras,
        case when k % 13 = 0 then '' when k % 11 = 0 then 'tavily://answer/' || k
-            else 'https://www.s' || (event_id % 7) || '.example.org/p/' || k end as source_url,
-       case when k % 13 = 0 or k % 11 = 0 then null else 'example.org' end as domain,
+            else 'https://www.s' || (event_id % 7) || '.example' || (event_id % 3) || '.org/p/' || k end as source_url,
+       case when k % 13 = 0 or k % 11 = 0 then null else 'example' || (event_id % 3) || '.org' end as domain,
        'e' || (k % 4) as engine, 300 + k as milli
 from log""",
     "gated": """

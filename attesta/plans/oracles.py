@@ -217,6 +217,17 @@ O["parent_gate_split"] = wv("gated", """
 select child_slug, parent_slug, source_url, quarantined or gate as quarantined,
        case when gate then 'UNRESOLVED_PARENT' end as quarantine_reason from gated""")
 
+O["parent_gate_release"] = wv("gated claims", """
+select g.child_slug, parent_slug, count(*) as rows, count(*) filter (where quarantined or still) as held,
+       count(*) filter (where still) as gated, any_value(h.n) as hidden_claims
+from rel g left join hid h on h.child_slug = g.child_slug group by 1, 2""",
+    rel="select *, gate and parent_slug not in ('n3', 'n9', 'n15', 'n21') as still from gated",
+    hid="""select c.child_slug, count(*) filter (where case
+             when c.quarantined then true
+             when not exists (select 1 from rel r where r.gate and r.child_slug = c.child_slug and r.source_url = c.source_url) then false
+             else exists (select 1 from rel r where r.child_slug = c.child_slug and r.source_url = c.source_url
+                          and (r.quarantined or r.still)) end) as n from claims c group by 1""")
+
 O["claim_gate_sync"] = wv("gated claims", """
 select claim_key, quarantined or hide as quarantined,
        case when not quarantined and hide then 'UNRESOLVED_PARENT' end as quarantine_reason
@@ -472,6 +483,35 @@ select conv_id, turn, used from (
          over (partition by conv_id order by turn) as bigint) as used from conversations)
 where used <= 2000"""
 
+O["lead_sentences"] = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[^.!?]+[.!?]+') as s from documents),
+walk as (
+  select doc_id, 0 as i, cast([] as varchar[]) as p, true as open, s from texts
+  union all
+  select doc_id, i + 1, case when short then list_append(p[1:len(p) - 1], p[len(p)] || ' ' || x)
+                             when full_ then p else list_append(p, x) end, short or not full_, s
+  from (select *, trim(s[i + 1]) as x, len(p) > 0 and length(p[len(p)]) < 12 as short,
+               len(p) = 3 or (len(p) > 0 and length(p[1]) > 400) as full_
+        from walk where open and i < len(s))),
+done as (select doc_id, arg_max(p, i) as p from walk group by 1)
+select doc_id, case
+  when len(p) = 0 then ''
+  when length(p[1]) > 400 then trim(regexp_replace(left(p[1], 400), '^(.+) [^ ]*$', '\1'))
+  when len(p) >= 3 and length(p[1]) + length(p[2]) + length(p[3]) + 2 <= 400 then p[1] || ' ' || p[2] || ' ' || p[3]
+  when len(p) >= 2 and length(p[1]) + length(p[2]) + 1 <= 400 then p[1] || ' ' || p[2]
+  else p[1] end as lead
+from done"""
+
+O["url_odd_hosts"] = """
+select page_id, case page_id % 8 when 0 then 'site' || page_id || '.co.uk' when 1 then 'site' || page_id || '.org'
+         when 2 then 'a note about page ' || page_id when 3 then '2001:db8::' || page_id
+         when 4 then 'site' || page_id || '.com.au' when 6 then 'site' || page_id || '.net' end as domain,
+       case page_id % 8 when 0 then 'shop.site' || page_id || '.co.uk' when 1 then 'www.site' || page_id || '.org'
+         when 3 then '2001:db8::' || page_id when 4 then 'cdn.site' || page_id || '.com.au'
+         when 5 then 'answer' when 6 then 'a..b.site' || page_id || '.net' else '' end as host
+from pages"""
+
 # --- extraction -------------------------------------------------------------
 
 _TITLED = """array_to_string(list_transform(string_split({0}, ' '), lambda x: upper(x[1:1]) || lower(x[2:])), ' ')"""
@@ -530,10 +570,13 @@ select child_slug || '|' || source_url as claim_key, arg_max(verdict, (observed_
 from d group by child_slug, source_url""", d=_VERDICTS)
 
 O["resolve_fold"] = wv("gated amap", """
-select parent_slug, count(distinct coalesce(m.slug, child_slug)) as children,
-       count(*) filter (where gate) as resolved_observations
-from gated left join amap m on m.alias = child_slug
-where not quarantined and parent_slug in (select parent_slug from gated where gate) group by 1""")
+select w.parent_slug, w.target, c.children, w.n as resolved_observations
+from (select parent_slug, case when parent_slug in ('n6', 'n18') then 'n1' else parent_slug end as target,
+             count(*) as n from gated where gate group by 1, 2) w
+join (select case when p.slug is not null then p.slug when parent_slug in ('n6', 'n18') then 'n1'
+                  else parent_slug end as target, count(distinct coalesce(m.slug, child_slug)) as children
+      from gated left join amap m on m.alias = child_slug left join amap p on p.alias = parent_slug
+      where not quarantined group by 1) c using (target)""")
 
 # --- streams ----------------------------------------------------------------
 

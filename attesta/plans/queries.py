@@ -25,7 +25,7 @@ from attesta.operators import gate as gt
 from attesta.operators import graph as gr
 from attesta.operators import readers as rd
 from attesta.operators import upserts as up
-from attesta.plans.evidence_views import Views, epoch
+from attesta.plans.evidence_views import HUBS as V_HUBS, Views, epoch
 from attesta.session import checkpoint_root
 from attesta.sources import ledger as lg
 from attesta.sources import tables as tb
@@ -38,7 +38,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(fn: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
     """Register ``fn`` under its name as a ``(spark, sf_dir)`` callable."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Views.of(spark, sf_dir))
     return fn
 
 
@@ -61,6 +61,21 @@ def url_display_host(v: Views) -> DataFrame:
                           ur.provider_label("source_url").alias("label"))
 
 
+@query
+def url_odd_hosts(v: Views) -> DataFrame:
+    """Three-label suffixes, ports, user parts, addresses and texts without a host."""
+    n, shape = F.col("page_id"), F.col("page_id") % 8
+    url = (F.when(shape == 0, F.concat(F.lit("https://Shop.Site"), n, F.lit(".CO.UK:8080/x?y=//z")))
+           .when(shape == 1, F.concat(F.lit("http://user:pw@www.site"), n, F.lit(".org/a@b")))
+           .when(shape == 2, F.concat(F.lit("a note about page "), n))
+           .when(shape == 3, F.concat(F.lit("https://[2001:DB8::"), n, F.lit("]/x")))
+           .when(shape == 4, F.concat(F.lit("//cdn.site"), n, F.lit(".com.au")))
+           .when(shape == 5, F.concat(F.lit("Perplexity://answer/"), n))
+           .when(shape == 6, F.concat(F.lit("  https://a..b.site"), n, F.lit(".net#top ")))
+           .otherwise("   "))
+    return v.table("pages").select("page_id", ur.registrable_domain(url).alias("domain"), ur.host(url).alias("host"))
+
+
 @query
 def slugify_names(v: Views) -> DataFrame:
     name = F.concat(F.upper("p_name"), F.lit("  "), "p_brand")
@@ -226,6 +241,19 @@ def parent_gate_split(v: Views) -> DataFrame:
     return v.gated.select("child_slug", "parent_slug", "source_url", "quarantined", "quarantine_reason")
 
 
+@query
+def parent_gate_release(v: Views) -> DataFrame:
+    """A second pass after the hubs n3, n9, n15 and n21 became entities: their rows are released."""
+    hubs = v.spark.range(3, V_HUBS + 1, 6).select(F.concat(F.lit("n"), "id").alias("slug"))
+    known = v.strains.unionByName(hubs.withColumn("name", F.col("slug")), allowMissingColumns=True)
+    out = gt.run_gate(v.gated, known, v.gated)
+    synced = gt.sync_claims(gt.sync_claims(v.claims, v.gated), out)
+    hidden = synced.groupBy("child_slug").agg(F.count_if("quarantined").alias("hidden_claims"))
+    return (out.groupBy("child_slug", "parent_slug").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("quarantined").alias("held"),
+        F.count_if(F.col("quarantine_reason").isNotNull()).alias("gated")).join(hidden, "child_slug", "left"))
+
+
 @query
 def claim_gate_sync(v: Views) -> DataFrame:
     gated = v.gated
@@ -246,6 +274,13 @@ def _seq() -> F.Column:
     return up.order_of("at", F.lit("log"), "event_id").alias("seq")
 
 
+def _in_two_steps(v: Views, upsert: Callable[[DataFrame, DataFrame], DataFrame], rows: DataFrame) -> DataFrame:
+    """The earlier half of the log goes on file first, the later half is merged into it."""
+    middle = v.log.agg(F.floor(F.avg("at")).alias("t")).first()["t"] or 0
+    early = F.col("seq.at") < middle
+    return upsert(upsert(rows.limit(0), rows.filter(early)), rows.filter(~early))
+
+
 @query
 def upsert_observations(v: Views) -> DataFrame:
     new = v.log.select(
@@ -258,7 +293,7 @@ def upsert_observations(v: Views) -> DataFrame:
         F.col("at").alias("observed_at"),
         F.when(F.col("k") % 7 == 0, "female").when(F.col("k") % 7 == 1, "bogus").alias("role"),
         F.lit(False).alias("quarantined"), _seq())
-    out = up.upsert_observations(new.limit(0), new)
+    out = _in_two_steps(v, up.upsert_observations, new)
     return out.select("child_slug", "parent_slug", "source_url", "source_title",
                       _milli("confidence").alias("milli"), "excerpt", "observed_at", "role")
 
@@ -272,7 +307,7 @@ def upsert_strains(v: Views) -> DataFrame:
         F.when(F.col("k") % 5 == 0, F.when(F.col("k") % 10 == 0, "").otherwise(
             F.concat(F.lit("b"), "event_id"))).alias("breeder"),
         F.col("at").alias("first_seen"), F.col("at").alias("last_researched"), _seq())
-    return up.upsert_strains(new.limit(0), new).select(
+    return _in_two_steps(v, up.upsert_strains, new).select(
         "slug", "name", "summary", "breeder", "first_seen", "last_researched")
 
 
@@ -284,7 +319,7 @@ def upsert_sources(v: Views) -> DataFrame:
         F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("t"), "event_id")).alias("title"),
         F.when(F.col("k") % 4 == 1, "").otherwise(F.col("event_type")).alias("engine"),
         F.col("at").alias("fetched_at"), _seq())
-    return up.upsert_sources(new.limit(0), new).select("url", "title", "engine", "fetched_at")
+    return _in_two_steps(v, up.upsert_sources, new).select("url", "title", "engine", "fetched_at")
 
 
 @query
@@ -642,13 +677,16 @@ def quarantine_fold_claims(v: Views) -> DataFrame:
 
 @query
 def resolve_fold(v: Views) -> DataFrame:
-    """Every waiting hub is approved under its own name."""
+    """Every waiting hub is approved: n6 and n18 as aliases of n1, the others under their own names."""
     gated = v.gated
+    alias_of = F.when(F.col("parent_slug").isin("n6", "n18"), "n1").otherwise("")
     events = gt.pending(gated).groupBy("parent_slug").agg(F.max("observed_at").alias("at")).select(
-        "parent_slug", F.lit("").alias("name"), F.lit("").alias("alias_of"), "at", F.col("at").alias("seq"))
+        "parent_slug", F.lit("").alias("name"), alias_of.alias("alias_of"), "at", F.col("at").alias("seq"))
     out = cu.resolve_parents(gated, v.claims, v.strains, events)
-    return out["children"].groupBy("parent_slug").agg(F.count(F.lit(1)).alias("children")) \
-        .join(out["resolved"], "parent_slug").select("parent_slug", "children", "resolved_observations")
+    children = out["children"].groupBy(F.col("parent_slug").alias("target")).agg(F.count(F.lit(1)).alias("children"))
+    target = F.when(F.col("alias_of") != "", F.col("alias_of")).otherwise(F.col("parent_slug"))
+    return (out["resolved"].withColumn("target", target).join(children, "target")
+            .select("parent_slug", "target", "children", "resolved_observations"))
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,10 +38,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
     root = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set(CHECKPOINT_CONF, root)
     return root
 
 
+def write_step(df: DataFrame, label: str = "step") -> str:
+    """Write ``df`` to a new folder under the shared checkpoint folder; its path."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/attesta-{label}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut lineage by writing ``df`` to the shared checkpoint folder.
 
@@ -47,7 +57,4 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     columns are pruned on re-read, and the planner sees real sizes, so later
     joins broadcast only what is measurably small.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/attesta-{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_step(df, label))

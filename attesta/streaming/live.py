@@ -1,10 +1,7 @@
-"""Streaming forms: continuous dedupe, cache classification and spend."""
+"""Streaming forms: continuous dedupe and spend."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,41 +24,6 @@ def spend_by_window(passes: DataFrame, width: str = "1 day", time_col: str = "ts
             .select(F.unix_timestamp("window.start").alias("window_start"), "calls", "tokens"))
 
 
-_OUT = "cache_key STRING, at BIGINT, request_id BIGINT, outcome STRING"
-
-
-def classify_stream(requests: DataFrame, ttl: int, late: str = "1 hour") -> DataFrame:
-    """hit / expired / miss for ``(cache_key, at, request_id)`` as requests arrive.
-
-    A request that finds nothing live fetches and stores, so the only state of
-    a key is when its blob expires; rows of a key are walked batch by batch
-    with that one number.  The state leaves once event time has passed the
-    blob's expiry by ``late``.
-    """
-
-    def walk(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        expires = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values(["at", "request_id"])
-            outcomes = []
-            for at in pdf["at"]:
-                if ttl > 0 and expires is not None and expires > at:
-                    outcomes.append("hit")
-                    continue
-                outcomes.append("expired" if ttl > 0 and expires is not None else "miss")
-                expires = at + ttl
-            yield pdf.assign(outcome=outcomes)[["cache_key", "at", "request_id", "outcome"]]
-        state.update((int(expires),))
-        state.setTimeoutTimestamp(max(int(expires) * 1000, state.getCurrentWatermarkMs() + 1))
-
-    timed = requests.select("cache_key", "at", "request_id", F.timestamp_seconds("at").alias("ts"))
-    return (timed.withWatermark("ts", late).groupBy("cache_key")
-            .applyInPandasWithState(walk, _OUT, "expires BIGINT", "append", "EventTimeTimeout"))
-
-
 def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
                   trigger: dict | None = None) -> None:
     """Drain what is available into a Parquet folder, exactly once.

@@ -176,6 +176,58 @@ OTHER_WORK_IN_TITLE = (
     r"soundtrack|disambiguation)\b"
 )
 CLOSING_QUOTES = r"[\"“”'’)\]]*"
+MODIFIER = rf"(?:(?!(?:{RELATION_WORDS})\b)[\w'’-]+\s+)"
+ALSO_KNOWN_AS = r"(?:\s*,\s*also\s+known\s+(?:simply\s+)?as\s+[\w'’-]+(?:\s+[\w'’-]+){0,3}\s*,)?"
+
+# The name belongs to a different kind of work: (side of the name, pattern).
+OTHER_WORK_RULES = (
+    ("before", rf"\b{OTHER_WORK}\b(?:\s+(?:called|named|titled))?\s*[,:]?\s*{CLOSING_QUOTES}$"),
+    ("after", rf"\bis\s+(?:an?|the)\s+(?:{MODIFIER}){{0,4}}{OTHER_WORK}\b"),
+    ("after", r"\bis\s+the\s+title(?:\s+character)?\s+of\b"),
+    ("after", rf"^{CLOSING_QUOTES}\s*,\s*(?:an?|the)\s+(?:{MODIFIER}){{0,4}}{OTHER_WORK}\b"),
+)
+OF_OTHER_WORK = rf"\s+of\s+(?:an?\s+|the\s+)?(?:{MODIFIER}){{0,3}}{OTHER_WORK}\b"
+# What follows the name when it is said to be of the class.
+CLASS_AFTER_NAME = (
+    ALSO_KNOWN_AS + rf"{CLOSING_QUOTES}\s+is\s+(?:(?:an?|the)\s+(?:{MODIFIER}){{0,6}})?{CLASS_NOUN}\b",
+    rf"{CLOSING_QUOTES}\s*,\s*(?:an?|the)\s+(?:{MODIFIER}){{0,6}}{CLASS_NOUN}\b",
+)
+# What stands directly before the name when it is.
+CLASS_BEFORE_NAME = (
+    rf"{CLASS_NOUN}\b(?:\s*,)?(?:\s+(?!(?:{RELATION_WORDS})\b)[\w'’-]+){{0,6}}\s*,?\s*"
+    rf"(?:named|called|known\s+(?:simply\s+)?as)\s+(?:simply\s+|the\s+)?{CLOSING_QUOTES}?",
+    rf"\b(?:call(?:ed)?|named)\s+(?:this\s+|the\s+|an?\s+)?(?:{MODIFIER}){{0,4}}{CLASS_NOUN}\s+{CLOSING_QUOTES}?",
+)
+CLASS_BESIDE_NAME = rf"\b(?:an?|the|this)\s+(?:{MODIFIER}){{0,4}}{CLASS_NOUN}\s*,?\s*{CLOSING_QUOTES}?"
+CROSS_TALK = r"\b(?:parent|parents|cross|crossing)\b"
+CROSS_TALK_CHARS = 48
+
+# --- relevance of an encyclopedia hit ---------------------------------------
+
+# points for a word of the list in the title, or else in the text
+ARTICLE_HINT_POINTS = (3, 1)
+ARTICLE_QUERY_POINTS = (5, 1)
+ARTICLE_MARK = "(cannabis"
+ARTICLE_MARK_POINTS = 25
+ARTICLE_STUB_TITLE, ARTICLE_STUB_TEXT = "disambiguation", "may refer to"
+ARTICLE_STUB_CHARS, ARTICLE_STUB_POINTS = 200, -30
+ARTICLE_NEGATIVE_CHARS, ARTICLE_NEGATIVE_POINTS = 300, -8
+
+# --- markup -----------------------------------------------------------------
+
+# Entities in the order in which they are decoded.
+PAGE_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"),
+                 ("&lt;", "<"), ("&gt;", ">"))
+LABEL_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"),
+                  ("&quot;", '"'), ("&nbsp;", " "))
+# Markup of an HTML result page.
+RESULT_BLOCK = r'<[^>]*\bclass\s*=\s*"[^"]*\bresults_links[^"]*"[^>]*>'
+RESULT_LINK = (r'(?s)<a[^>]*\bclass\s*=\s*"[^"]*result__a[^"]*"[^>]*\bhref\s*=\s*"([^"]+)"[^>]*>'
+               r'((?:(?!</a>).)*)</a>')
+RESULT_SNIPPET = r'(?s)<a[^>]*\bclass\s*=\s*"[^"]*result__snippet[^"]*"[^>]*>((?:(?!</a>).)*)</a>'
+# Header of one result in an evidence text, and what parts two of them.
+EVIDENCE_HEADER = ("--- result[", "] url=", " ---\n")
+EVIDENCE_BREAK = "\n\n"
 
 # --- limits -----------------------------------------------------------------
 

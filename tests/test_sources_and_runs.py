@@ -18,7 +18,6 @@ from attesta.sources import payloads as pl
 from attesta.sources import runs as rn
 from attesta.sources import tables as tb
 from attesta.streaming import ingest as ig
-from attesta.streaming import live as lv
 
 
 def payload(spark, doc, **cols):
@@ -238,15 +237,6 @@ def test_frontier(spark):
 
 
 def test_streams(spark, tmp_path):
-    req = [("k", 1000, 1), ("k", 1050, 2), ("k", 1100, 3), ("j", 1005, 4), ("k", 1150, 5), ("k", 1260, 6)]
-    for i in (0, 3):
-        spark.createDataFrame(req[i:i + 3], "cache_key string, at long, request_id long").coalesce(1) \
-            .write.mode("append").parquet(str(tmp_path / "req"))
-    src = spark.readStream.schema("cache_key string, at long, request_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "req"))
-    lv.run_to_folder(lv.classify_stream(src, 100), str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = {r.request_id: r.outcome for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: "miss", 2: "hit", 3: "expired", 4: "miss", 5: "hit", 6: "expired"}
-
     strains = S.conform(spark.createDataFrame([("kid",)], "slug string").withColumn("name", F.col("slug")), S.STRAINS)
     step = ig.tier_feed(str(tmp_path / "tiers"), strains)
     obs = lambda url, parent="ma": S.conform(spark.createDataFrame(
@@ -265,3 +255,30 @@ def test_pages_and_stats(spark):
     assert [r.slug for r in page] == ["s5", "s1"] and page[1].props == {"breeder": "b"}
     assert [r.score for r in rd.search_strains(st, "S1").collect()] == [3]
     assert rd.search_strains(st, " ").count() == 0
+
+
+def test_one_odd_row_changes_nothing_else(spark):
+    roles = spark.createDataFrame(
+        [("r", "q", 1, "Kid", "GSC", "Haze", [], "u", {"GSC": "female", "Girl Scout Cookies": "male"})],
+        "run_id string, query string, seq int, child string, parent_a string, parent_b string, extra_parents array<string>,"
+        " source_url string, parent_roles map<string,string>")
+    assert ex.ingest_claims(roles).first().parent_roles == {"Girl Scout Cookies": "male"}
+
+    def line(**kw):
+        import json
+        return json.dumps({"lineage": [{"child": "Kid", "parents": ["A", "B", "C", "D", "E"], **kw}]})
+
+    answers = [line(source_index=0, parent_roles={"b": "male", "B": "female"}), line(source_index="NaN"),
+               line(source_index=1e300), line(source_index="1.7"), line(source_index=" 0 ")]
+    responses = spark.createDataFrame([(f"r{i}", "q", a) for i, a in enumerate(answers)], "run_id string, query string, response string")
+    results = spark.createDataFrame([(f"r{i}", "q", 0, "u", "t", "s") for i in range(5)],
+                                    "run_id string, query string, rank int, url string, title string, source string")
+    claims = {r.run_id: r for r in ex.parse_responses(responses, results)[0].collect()}
+    assert set(claims) == {"r0", "r4"} and claims["r0"].parent_roles == {"B": "female"}
+    assert claims["r0"].extra_parents == ["C", "D", "E"]
+
+    texts = spark.createDataFrame([("r", None, 1, "a"), ("r", None, None, "b"), ("r", "q", 10 ** 15, "c"), (None, "q", 3, "d")],
+                                  "run_id string, query string, rank long, snippet string") \
+        .withColumns({"title": F.lit("t"), "url": F.lit("u")})
+    assert {r.block for r in ex.pack_evidence(texts).collect()} == {"t\na", "t\nb", "t\nc", "t\nd"}
+    assert {r.block for r in ex.pack_evidence(texts, total=3).collect()} == {"t\na", "t\nc", "t\nd"}
