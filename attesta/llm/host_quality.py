@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta.llm.common import let, text_of, words_of
+from attesta.session import materialize
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = r"[#*$%&|<>]"
@@ -29,6 +30,8 @@ RULES = {
 }
 #: Hosts: at least so many of 1000 documents must certainly fail one rule.
 BAD_PERMILLE = 800
+#: Bad hosts that may be broadcast.
+BROADCAST_HOSTS = 10_000
 #: Posterior standard deviations that "certainly" takes off the shrunk rate.
 CERTAIN = 2.0
 
@@ -94,7 +97,8 @@ def host_verdicts(measured: DataFrame, host: str = "source", bad_permille: int =
     numbers, whatever the input, and reach the plan as literals.
     """
     fails = [F.sum(F.expr(cond).cast("long")).alias(f"k_{name}") for name, cond in RULES.items()]
-    hosts = measured.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), *fails)
+    # Written once: the moments and the verdicts read it, the documents are measured one time only.
+    hosts = materialize(measured.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("n"), *fails), "hosts")
     rows = hosts.agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"),
         *[F.sum(f"k_{r}").alias(f"k_{r}") for r in RULES],
@@ -129,9 +133,13 @@ def prior(n: int, k: int, square: float) -> tuple[float, float]:
 def judge(measured: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
     """Joins the verdicts back: adds ``base_failed``, ``host_fails`` and ``kept``.
 
-    The documents are the left side, so a hot host is split by adaptive
-    execution; the right side holds bad hosts only.
+    The right side holds bad hosts only, and is counted: up to BROADCAST_HOSTS
+    it is sent to the documents, which then do not move; beyond it the
+    documents are the left side of a plain join, whose hot hosts adaptive
+    execution splits.
     """
+    if verdicts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        verdicts = F.broadcast(verdicts)
     out = measured.drop("base_failed", "kept", "host_fails", "_host")
     out = out.join(verdicts, out[host].eqNullSafe(verdicts["_host"]), "left").drop("_host")
     return out.withColumns({
