@@ -105,14 +105,16 @@ def conflict_components(members: DataFrame) -> DataFrame:
     Returns ``(child_slug, size, component, is_conflict)``.
     """
     key = ["child_slug", "parent_slug"]
-    classes = _size_classes(members)
-    down = W.partitionBy("child_slug").orderBy(F.desc("size"))
-    classes = classes.withColumn("rank", F.row_number().over(down))
-
     sizes = members.groupBy("child_slug", "source_url").agg(F.count(F.lit(1)).alias("size"))
-    cells = (members.join(sizes, ["child_slug", "source_url"])
-             .groupBy(*key, "size").agg(F.count(F.lit(1)).alias("present"))
-             .join(classes, ["child_slug", "size"]))
+    cells = materialize(members.join(sizes, ["child_slug", "source_url"])
+                        .groupBy(*key, "size").agg(F.count(F.lit(1)).alias("present")), "cells")
+    # Each set of size s has s members, so the cells of a size count its sets s times.
+    down = W.partitionBy("child_slug").orderBy(F.desc("size"))
+    classes = materialize(
+        cells.groupBy("child_slug", "size").agg(F.sum("present").alias("n"))
+        .select("child_slug", "size", F.expr("n div size").alias("sets"))
+        .withColumn("rank", F.row_number().over(down)), "classes")
+    cells = cells.join(classes, ["child_slug", "size"])
     ladder = W.partitionBy(*key).orderBy("rank")
     cells = cells.withColumn(
         "whole", (F.col("present") == F.col("sets")) & (F.col("rank") == F.row_number().over(ladder)))

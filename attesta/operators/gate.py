@@ -84,12 +84,13 @@ def pending(obs: DataFrame) -> DataFrame:
 def pending_parents(obs: DataFrame, limit: int = 200) -> DataFrame:
     """The newest ``limit`` waiting observations grouped by parent.
 
-    The window of rows is the feature (1..500); ``total_observations`` counts
-    the whole queue.
+    The window of rows is the feature (1..500); ``total_observations`` and
+    ``total_parents`` count the whole queue.
     """
     limit = max(1, min(int(limit), 500))
     waiting = pending(obs)
     total = waiting.agg(F.count(F.lit(1))).scalar()
+    parents = waiting.select("parent_slug").distinct().agg(F.count(F.lit(1))).scalar()
     order = [F.desc("observed_at"), F.col("parent_slug"), F.col("child_slug"), F.col("source_url")]
     window = waiting.orderBy(*order).limit(limit)
     item = F.struct((-F.col("observed_at")).alias("age"), "child_slug", "source_url", "source_title",
@@ -97,6 +98,6 @@ def pending_parents(obs: DataFrame, limit: int = 200) -> DataFrame:
     grouped = window.groupBy("parent_slug").agg(
         F.count(F.lit(1)).alias("observation_count"), F.max("observed_at").alias("newest"),
         F.array_sort(F.collect_list(item)).alias("children"))
-    return (grouped.withColumns({"total_observations": total,
+    return (grouped.withColumns({"total_observations": total, "total_parents": parents,
                                  "parent_name": tx.slug_title("parent_slug")})
             .orderBy(F.desc("newest"), "parent_slug"))

@@ -57,7 +57,7 @@ def ancestors(edges: DataFrame, seeds: DataFrame | None = None,
         return _closure(start, links, max_rounds)
     inner_nodes = links.select(F.col("ancestor").alias("node")).distinct()
     inner = materialize(links.join(inner_nodes, "node", "left_semi"), "inner")
-    closed = _closure(inner, inner, max_rounds)
+    closed = _doubled(inner) if max_rounds is None else _closure(inner, inner, max_rounds)
     lifted = links.join(
         closed.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("upper")), "ancestor")
     return (links.unionByName(lifted.select("node", F.col("upper").alias("ancestor")))
@@ -73,6 +73,7 @@ def descendants(edges: DataFrame, seeds: DataFrame | None = None,
 
 
 def _closure(start: DataFrame, links: DataFrame, max_rounds: int | None) -> DataFrame:
+    """Pairs reachable from ``start`` over ``links``, one step a round."""
     step = links.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("upper"))
     delta = materialize(start, "closure")
     known, rounds = delta, 0
@@ -86,6 +87,20 @@ def _closure(start: DataFrame, links: DataFrame, max_rounds: int | None) -> Data
     return known
 
 
+def _doubled(links: DataFrame) -> DataFrame:
+    """All pairs of ``links``'s transitive closure; paths double in length each round."""
+    known = delta = materialize(links, "closure")
+    while not delta.isEmpty():
+        upper = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("upper"))
+        fresh = (delta.join(upper, "ancestor").select("node", F.col("upper").alias("ancestor"))
+                 .unionByName(known.join(delta.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("upper")),
+                                         "ancestor").select("node", F.col("upper").alias("ancestor")))
+                 .distinct().join(known, ["node", "ancestor"], "left_anti"))
+        delta = materialize(fresh, "closure")
+        known = known.unionByName(delta)
+    return known
+
+
 # --- relations --------------------------------------------------------------
 
 def siblings(edges: DataFrame, seeds: DataFrame) -> DataFrame:

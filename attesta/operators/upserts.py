@@ -111,13 +111,16 @@ def upsert_observations(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def insert_claims(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Append claims not on file under (child, value, url); first of each wins in a batch."""
+    """Append claims not on file under (child, value, url); first of each wins in a batch.
+
+    The id is a digest of that natural key, wide enough never to collide.
+    """
     key = ["child_slug", "value", "source_url"]
     fresh = new.withColumn("source_url", tx.text_of("source_url"))
     row = F.struct(*[c for c in fresh.columns if c not in key])
     fresh = fresh.groupBy(*key).agg(F.min_by(row, "seq").alias("r")).select(*key, "r.*")
     fresh = fresh.join(existing.select(*key), key, "left_anti")
-    ident = F.shiftrightunsigned(F.xxhash64(*key), 1)
+    ident = F.left(F.sha2(F.to_json(F.struct(*key)), 256), F.lit(40))
     add = S.conform(fresh.withColumn("id", ident), S.CLAIMS)
     return S.conform(existing, S.CLAIMS).unionByName(add)
 

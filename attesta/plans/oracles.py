@@ -237,6 +237,7 @@ from (select c.*, exists (select 1 from gated g where g.gate and g.child_slug =
 O["pending_parents"] = wv("gated", """
 select parent_slug, upper(parent_slug[1:1]) || lower(parent_slug[2:]) as parent_name,
        count(*) as observation_count, max(observed_at) as newest, max(total) as total_observations,
+       (select count(distinct parent_slug) from gated where gate) as total_parents,
        arg_min(child_slug, (-observed_at, child_slug, source_url)) as first_child
 from (select *, count(*) over () as total from gated where gate
       order by observed_at desc, parent_slug, child_slug, source_url limit 200)
@@ -283,11 +284,11 @@ from edges e join canon c on c.child = e.child and c.parent = e.parent and not c
 left join strains s on s.slug = e.parent left join src on src.url = c.source_url""")
 
 O["catalog_page"] = wv("strains tiers", """
-select slug, name, tier as trust_tier, milli, breeder from tiered
+select slug, name, tier as trust_tier, milli, breeder, count(*) over () as total from tiered
 order by milli desc, name, slug limit 50 offset 100""", tiered=_TIERED)
 
 O["source_page"] = wv("src", """
-select url, title, fetched_at, wayback_url from src order by fetched_at desc, url limit 50 offset 10""")
+select url, title, fetched_at, wayback_url, count(*) over () as total from src order by fetched_at desc, url limit 50 offset 10""")
 
 _SCORES = """
 select slug, name, case when lower(name) = '{q}' or slug = '{q}' or alias = '{q}' then 3
@@ -371,7 +372,7 @@ select 'run' || user_id as id, min(tm) as started_at, max(tm) as completed_at,
 from log group by 1"""
 
 O["run_page"] = wv("log", """
-select id, started_at, completed_at, llm_calls from runs order by started_at desc, id limit 20 offset 5""", runs=_RUNS)
+select id, started_at, completed_at, llm_calls, count(*) over () as total from runs order by started_at desc, id limit 20 offset 5""", runs=_RUNS)
 
 O["kb_stats"] = wv("strains claims edges gated src log", """
 select s.*, c.*, e.*, r.*, p.*, (select count(*) from src) as total_sources, strain_nodes + total_claims as total_nodes

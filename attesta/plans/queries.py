@@ -162,7 +162,7 @@ def entity_tiers(v: Views) -> DataFrame:
 @query
 def conflict_components(v: Views) -> DataFrame:
     """Every assertion in a conflict, labelled by its component's first parent set."""
-    rows = rd.conflicts(v.canon, v.strains)
+    rows = rd.conflicts(v.canon, v.strains, members=v.members)
     sets = rows.groupBy("child_slug", "component", F.array_join("parents", "|").alias("parents")).agg(
         F.count(F.lit(1)).alias("sources"), F.max("observed_at").alias("newest"))
     label = sets.groupBy("child_slug", "component").agg(F.min("parents").alias("label"))
@@ -264,7 +264,7 @@ def claim_gate_sync(v: Views) -> DataFrame:
 def pending_parents(v: Views) -> DataFrame:
     gated = v.gated
     return gt.pending_parents(gated, 200).select(
-        "parent_slug", "parent_name", "observation_count", "newest", "total_observations",
+        "parent_slug", "parent_name", "observation_count", "newest", "total_observations", "total_parents",
         F.element_at("children", 1)["child_slug"].alias("first_child"))
 
 
@@ -343,12 +343,12 @@ def catalog_page(v: Views) -> DataFrame:
     strains = ev.apply_tiers(v.strains, ev.child_tiers(v.edges, v.canon))
     page = rd.catalog_page(strains, 50, 100)
     return page.select("slug", "name", "trust_tier", _milli("confidence").alias("milli"),
-                       F.element_at("props", "breeder").alias("breeder"))
+                       F.element_at("props", "breeder").alias("breeder"), "total")
 
 
 @query
 def source_page(v: Views) -> DataFrame:
-    return rd.source_page(v.sources, 50, 10).select("url", "title", "fetched_at", "wayback_url")
+    return rd.source_page(v.sources, 50, 10).select("url", "title", "fetched_at", "wayback_url", "total")
 
 
 @query
@@ -433,7 +433,7 @@ def _runs(v: Views) -> DataFrame:
 
 @query
 def run_page(v: Views) -> DataFrame:
-    return rd.run_page(_runs(v), 20, 5).select("id", "started_at", "completed_at", "llm_calls")
+    return rd.run_page(_runs(v), 20, 5).select("id", "started_at", "completed_at", "llm_calls", "total")
 
 
 @query

@@ -74,10 +74,5 @@ def append(spark: SparkSession, path: str, runs: DataFrame, visited: DataFrame,
     fresh = runs.join(done, "run_id", "left_anti")
     lines = ledger_lines(fresh, visited.join(fresh.select("run_id"), "run_id", "left_semi"),
                          claims.join(fresh.select("run_id"), "run_id", "left_semi"))
-    lines.sortWithinPartitions("run_id", "seq").select("value").write.mode("append").text(path)
-
-
-def stream_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger as a stream of parsed rows."""
-    schema = T.StructType([T.StructField("value", T.StringType())])
-    return parse_lines(spark.readStream.schema(schema).text(path))
+    # A run lies in one file, its summary before its claims.
+    lines.repartition("run_id").sortWithinPartitions("run_id", "seq").select("value").write.mode("append").text(path)

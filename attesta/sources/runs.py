@@ -52,9 +52,13 @@ def entity_meta(docs: DataFrame) -> DataFrame:
         "run_id", "slug", "m.summary", "m.thc_range", "m.strain_type", "m.breeder")
 
 
+RAW_BUCKETS = 64
+
+
 def write_raw(results: DataFrame, path: str) -> None:
-    """Kept results as JSON below ``run_id=…`` folders."""
-    results.write.mode("append").partitionBy("run_id").json(path)
+    """Kept results as JSON below a fixed number of folders, each run in one of them."""
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(RAW_BUCKETS))
+    results.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").json(path)
 
 
 def read_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

@@ -126,8 +126,8 @@ def test_gate(spark):
                    ("c", "ghost"): (False, "HUMAN_APPROVED"), ("d", "real"): (False, None),
                    ("e", "spook"): (True, "UNRESOLVED_PARENT"), ("e", "real"): (False, None)}
     synced = {r.id: (r.quarantined, r.quarantine_reason) for r in gt.sync_claims(claims, out).collect()}
-    assert synced == {1: (True, "UNRESOLVED_PARENT"), 2: (False, None), 3: (True, "UNRESOLVED_PARENT"),
-                      4: (False, None), 5: (True, None)}
+    assert synced == {"1": (True, "UNRESOLVED_PARENT"), "2": (False, None), "3": (True, "UNRESOLVED_PARENT"),
+                      "4": (False, None), "5": (True, None)}
     assert rows(gt.run_gate(out, strains, out), *VIEW["lineage_sources"]) == rows(out, *VIEW["lineage_sources"])
     known, unknown = gt.split_by_known_parent(obs, strains)
     assert known.count() == 2 and unknown.count() == 4
@@ -143,7 +143,7 @@ def test_quarantine_and_resolve(spark):
     got = {(r.child_slug, r.parent_slug): (r.quarantined, r.quarantine_reason) for r in o.collect()}
     assert got["e", "real"] == (True, None) and got["a", "ghost"] == (False, "HUMAN_APPROVED")
     by_id = {r.id: r.quarantined for r in c.collect()}
-    assert by_id[1] is False and by_id[3] is True and by_id[4] is False
+    assert by_id["1"] is False and by_id["3"] is True and by_id["4"] is False
     assert bad.count() == 1 and s.filter("slug = 'ghost'").first().origin == "resolved"
 
     ev = spark.createDataFrame([("ghost", "", "", 5, 1), ("spook", "", "real", 5, 2), ("nobody", "", "", 5, 3),
