@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +33,28 @@ def local_session(app: str = "attesta", cores: str = "*", partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they start.
+
+    Not needed where the package is installed or on the workers' path already.
+    """
+    root = pathlib.Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(app)
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "attesta.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "attesta").rglob("*.py")):
+            out.write(path, str(path.relative_to(root)))
+    spark.sparkContext.addPyFile(archive)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster, or a temporary one in local mode."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
