@@ -114,8 +114,72 @@ from rows
 window g as (partition by norm order by length(t) desc, doc_id nulls last, rid
              rows between unbounded preceding and unbounded following)"""
 
+LINES = r"""
+with parts as (select row_number() over () as rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) as p from documents),
+  raw as (select rid, doc_id, unnest(range(0, len(p))) as pos, unnest(p) as line from parts),
+  lines as (select rid, doc_id, pos, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as l,
+                   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from raw
+            where regexp_matches(line, '[^\x20\x09-\x0D]')),
+  cum as (select *, coalesce(sum(n) over (partition by rid order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as before
+          from lines),
+  ends as (select *, before + n as upto from cum),
+  wins as (
+    select rid, doc_id, list_sort(list({'p': pos, 'l': l}) over w) as c, max(upto) over w - min(before) over w as total
+    from ends window w as (partition by rid order by before range between current row and 49 following)
+    union all
+    select rid, doc_id, list_sort(list({'p': pos, 'l': l}) over w), max(upto) over w - min(before) over w
+    from ends window w as (partition by rid order by upto range between 49 preceding and current row)),
+  placed as (select rid, doc_id, list_transform(c, lambda x: x.l) as content, c[1].p as s, c[len(c)].p as e
+             from wins where total >= 50),
+  firsts as (select content, arg_min({'rid': rid, 'e': e}, {'d': doc_id, 's': s}) as f from placed group by content),
+  gone as (select distinct rid, unnest(range(s, e + 1)) as pos from placed join firsts using (content)
+           where rid <> f.rid or s > f.e),
+  runs as (select rid, string_agg(lo || ':' || hi, ',' order by lo) as runs, sum(hi - lo)::bigint as n from (
+             select rid, min(pos) as lo, max(pos) + 1 as hi from (
+               select rid, pos, pos - row_number() over (partition by rid order by pos) as g from gone) group by rid, g)
+           group by rid),
+  left_ as (select rid, string_agg(line, chr(10) order by pos) as text from raw anti join gone using (rid, pos) group by rid)
+select doc_id, case when r.runs is null then parts.text else coalesce(l.text, '') end as text, len(p)::bigint as n_lines,
+       coalesce(r.n, 0)::bigint as n_deleted, coalesce(r.runs, '') as runs
+from parts left join runs r using (rid) left join left_ l using (rid)"""
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+MIX = f"""
+with recursive docs as (select row_number() over () as rid, doc_id, source, {_WORDS}::bigint as size,
+                md5('shuffle|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')) as h from documents),
+  sources as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as place
+              from docs group by source),
+  weighed as (select *, case place % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as w from sources),
+  ranked as (select *, 3.0 * source_size / w as r from weighed),
+  levels as (select r, (sum(source_size) over () - coalesce(sum(3.0 * source_size) over before, 0.0))
+                       / (sum(w) over () - coalesce(sum(w) over before, 0.0)) as level
+             from ranked window before as (order by r, place rows between unbounded preceding and 1 preceding)),
+  aimed as (select ranked.*, least(3.0 * source_size, w * (select min_by(level, r) from levels where level <= r)) as target
+            from ranked),
+  total as (select sum(source_size)::bigint as n, greatest(1, least(2048, sum(source_size) // 131072))::bigint as block,
+                   sum(target) as goal from aimed),
+  spans as (select aimed.*, round(coalesce(sum(target) over (order by place rows between unbounded preceding and 1 preceding), 0.0)
+                   / goal * 2147483648)::bigint as first, greatest(1, ceil(source_size / block::double))::bigint as n_blocks
+            from aimed, total),
+  slots as (select i, ((i % 2147483648) * 1327217885 + 1073741824) % 2147483648 as point
+            from (select unnest(range(0, n // block)) as i from total)),
+  named as (select i, s.place, s.n_blocks, row_number() over (partition by s.place order by i) - 1 as rank
+            from slots asof join (select * from spans where target > 0) s on slots.point >= s.first),
+  uses as (select place, rank % n_blocks as b, count(*) as uses from named where rank < 3 * n_blocks group by 1, 2),
+  stream as (select docs.*, s.place, coalesce(sum(size) over (partition by docs.source order by h, rid
+                   rows between unbounded preceding and 1 preceding), 0)::bigint as p0
+             from docs join spans s on s.source is not distinct from docs.source),
+  pieces as (select rid, place, p0, size, block, unnest(range(p0 // block, (p0 + size - 1) // block + 1)) as b
+             from stream, total where size > 0),
+  took as (select rid, sum((least(p0 + size, (b + 1) * block) - greatest(p0, b * block)) * uses)::bigint as n
+           from pieces join uses using (place, b) group by rid)
+select docs.doc_id, docs.size, s.source_size, s.target, coalesce(took.n, 0)::bigint as taken
+from docs join spans s on s.source is not distinct from docs.source left join took using (rid)"""
+
 ORACLES: dict[str, str] = {
     "op5_secret_scan": SECRETS,
+    "op4_mixing": MIX,
     "op6_chunk_dedup": EXACT,
+    "op8_line_dedup": LINES,
     "op1_host_quality": f"with {JUDGED} select * exclude (rid) from judged",
 }
