@@ -1,9 +1,9 @@
 """Operator 9, toxicity: maximum-scoring segments over token log-odds.
 
-Log-odds of tokens between toxic and other documents are shrunk by a Dirichlet
-prior that is proportional to the tokens' overall counts; tokens whose log-odds
-are clearly above zero score them, every other token scores the same small
-negative amount.  A linear scan finds all maximal scoring segments of a
+Log-odds of tokens and of their stems between toxic and other documents are
+shrunk by a Dirichlet prior that is proportional to the tokens' overall counts;
+tokens whose log-odds are clearly above zero score them, every other token
+scores the same small negative amount.  A linear scan finds all maximal scoring segments of a
 document; a segment's score is turned into a significance by the extreme-value
 law of such maxima (a scale from the scores, a constant from clean documents),
 and the significances of a document's segments make its score.
@@ -36,7 +36,7 @@ MAX_ROWS = 20_000
 #: Terms with a positive score (the largest by significance).
 MAX_TERMS = 5_000
 #: A term's log-odds must exceed zero by so many standard deviations.
-LEAST_Z = 3.0
+LEAST_Z = 2.5
 #: And this much: a term that is merely a little more frequent is like any other.
 LEAST_ODDS = 2.0
 #: Documents of prior, as a share of the sample.
@@ -87,11 +87,15 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[float, i
     return [(h - lo, a, b) for lo, h, a, b in zip(low, high, first, final)]
 
 
+#: Characters of a token's stem, which is a term of its own (written with a hyphen).
+STEM = 4
+
+
 def measure(text: str, model: Model) -> tuple[int, list[tuple[float, int, int]]]:
     """Number of tokens and the segments of a whole text."""
     get = model.scores.get
     tokens = TOKEN.findall(text.lower())
-    hits = [(i, s) for i, t in enumerate(tokens) if (s := get(t)) is not None]
+    hits = [(i, s) for i, t in enumerate(tokens) if (s := get(t) or get(t[:STEM] + "-")) is not None]
     return len(tokens), segments(hits, model.drift)
 
 
@@ -104,7 +108,9 @@ def evidence(n: int, found: list[tuple[float, int, int]], model: Model) -> tuple
 
 def _terms(rows: DataFrame) -> tuple[dict[str, float], float]:
     """Scores of the toxic terms and the drift of all others, from document counts."""
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    stems = F.transform(words, lambda w: F.concat(F.left(w, F.lit(STEM)), F.lit("-")))
+    tokens = F.concat(words, F.array_distinct(stems))
     counts = rows.select("label", F.explode(tokens).alias("term")).groupBy("term").agg(
         F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     n = rows.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).first()
