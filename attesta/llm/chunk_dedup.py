@@ -142,8 +142,9 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int
     ids = made.join(fixes, ["_k1", "_k2"], "left")
     ids = ids.withColumn("fix", F.coalesce("fix", F.array().cast(fixes.schema["fix"].dataType)))
     order = F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("null"), "doc_id", "_tag")
-    groups = (ids.groupBy("recipe", "fix").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
-              .filter("group_size > 1"))
+    # Written, so that adaptive execution can split the documents of a very large group.
+    groups = materialize(ids.groupBy("recipe", "fix").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
+                         .filter("group_size > 1"), "groups")
     out = ids.join(groups, ["recipe", "fix"], "left")
     return out.select(
         "doc_id", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attesta.llm.common import let, tagged, text_of
+from attesta.session import materialize
 
 
 def _either(word: str) -> str:
@@ -100,7 +101,9 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str =
                         & (F.coalesce("base_start", F.col("end")) >= F.col("end"))))
         .select("_tag", "owner", "repo", "rank", "start", "end", "hash", looks_live(F.col("value")).alias("random"))
     )
-    owned = found.join(ownership(found), "hash", "left").withColumn(
+    # Both are written: the candidates of a value that is copied everywhere are then split by adaptive execution.
+    found = materialize(found, "candidates")
+    owned = found.join(materialize(ownership(found), "ownership"), "hash", "left").withColumn(
         "live", F.col("random") & (F.col("owners") <= max_owners))
     owned = owned.filter((F.col("rank") < len(BASE)) | F.col("live"))
 
