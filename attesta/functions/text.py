@@ -313,8 +313,13 @@ def claim_tier(conflicted: ColumnOrName, domains: ColumnOrName) -> Column:
             .when(_c(domains) >= 2, V.TIER_CONSENSUS).otherwise(V.TIER_ANECDOTAL))
 
 
+def canonical_json(payload: ColumnOrName) -> Column:
+    """A JSON text with sorted keys and without blanks; any other text as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(_c(payload))), _c(payload))
+
+
 def content_digest(payload: ColumnOrName) -> Column:
-    return F.sha2(F.encode(_c(payload), "UTF-8"), 256)
+    return F.sha2(F.encode(canonical_json(payload), "UTF-8"), 256)
 
 
 def request_key(provider: ColumnOrName, kind: ColumnOrName, identity: ColumnOrName,

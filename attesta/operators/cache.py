@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import text as tx
+from attesta.operators import aliases as al
 
 # Payloads not worth keeping.
 _EMPTY = ("", "[]", "{}", '""', "null")
@@ -51,9 +52,14 @@ def store_payloads(blobs: DataFrame, fetched: DataFrame, ttl: int) -> DataFrame:
         .select("cache_key", "b.*", "hits").drop("__new").select(*blobs.columns))
 
 
-def purge(blobs: DataFrame) -> DataFrame:
-    """Drop every blob; lifetime counters live in the request log and stay."""
-    return blobs.limit(0)
+def with_request_keys(requests: DataFrame, strains: DataFrame) -> DataFrame:
+    """``requests(provider, kind, query, extra, …)`` with ``identity`` and ``cache_key``.
+
+    The identity of a query is the entity that it names, under any spelling or
+    alias, so such queries share one key.
+    """
+    named = al.identify(requests, strains, "query")
+    return named.withColumn("cache_key", tx.request_key("provider", "kind", "identity", "extra"))
 
 
 def cache_stats(classified: DataFrame, blobs: DataFrame | None = None) -> DataFrame:

@@ -73,8 +73,8 @@ select 'run' || user_id as id, arg_min(event_type, (tm, event_id)) as query, arg
 from log group by user_id""")
 
 O["cache_stored"] = wv("log", """
-select cache_key, payload, sha256(payload) as content_hash, tm as fetched_at, tm + 3600 as expires_at, cast(0 as bigint) as hits
-from (select user_id || ':' || event_type as cache_key, props || ' ' || event_id as payload, tm from log where k % 5 <> 0)
+select cache_key, payload, sha256('{"a":' || event_id || ',"z":' || k || '}') as content_hash, tm as fetched_at, tm + 3600 as expires_at, cast(0 as bigint) as hits
+from (select user_id || ':' || event_type as cache_key, '{"z": ' || k || ', "a" : ' || event_id || '}' as payload, event_id, k, tm from log where k % 5 <> 0)
 qualify row_number() over (partition by cache_key order by tm desc, payload desc) = 1""")
 
 O["remaining_evidence"] = wv("obs edges", """
@@ -84,3 +84,15 @@ from (select distinct child_slug, parent_slug from obs union select distinct chi
 left join (select child_slug, parent_slug, count(*) as n from obs where not quarantined group by 1, 2) o
   on o.child_slug = k.child_slug and o.parent_slug = k.parent_slug
 left join edges e on e.child = k.child_slug and e.parent = k.parent_slug""")
+
+O["request_keys"] = wv("amap", """
+select p_partkey, 'web:search:' || coalesce(m.slug, 'n' || p_partkey) || ':' || case when p_partkey % 2 = 0 then 'deep' else '' end as cache_key
+from part left join amap m on m.alias = 'n' || p_partkey""")
+
+O["found_entities"] = wv("amap strains", """
+select p.p_partkey, coalesce(s.slug, n.slug) as slug from (
+  select p_partkey, case p_partkey % 3 when 0 then ' N' || p_partkey when 1 then upper(p_name) || ' ' || p_partkey
+                         else 'nobody ' || p_partkey end as name from part) p
+left join amap m on m.alias = regexp_replace(lower(trim(p.name)), '\\s+', '-', 'g')
+left join strains s on s.slug = m.slug
+left join (select lower(name) as l, min(slug) as slug from strains group by 1) n on n.l = lower(trim(p.name))""")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import schemas as S
+from attesta.operators import aliases as al
 from attesta.operators import cache as ca
 from attesta.operators import curate as cu
 from attesta.operators import upserts as up
@@ -150,7 +151,8 @@ def cache_stored(v: Views) -> DataFrame:
     fetched = v.log.select(
         F.concat("user_id", F.lit(":"), "event_type").alias("cache_key"), F.lit("web").alias("provider"), F.lit("search").alias("kind"),
         F.col("user_id").cast("string").alias("identity"),
-        F.when(F.col("k") % 5 == 0, " [] ").otherwise(_text("$props", " ", "$event_id")).alias("payload"), F.col("at").alias("fetched_at"))
+        F.when(F.col("k") % 5 == 0, " [] ").otherwise(_text('{"z": ', "$k", ', "a" : ', "$event_id", "}")).alias("payload"),
+        F.col("at").alias("fetched_at"))
     none = v.spark.createDataFrame([], S.struct_of(
         "cache_key STRING, provider STRING, kind STRING, identity STRING, payload STRING, content_hash STRING, "
         "fetched_at BIGINT, expires_at BIGINT, hits BIGINT"))
@@ -166,3 +168,23 @@ def remaining_evidence(v: Views) -> DataFrame:
     keys = v.obs.select("child_slug", "parent_slug").distinct()
     never = keys.select("child_slug", F.lit("nowhere").alias("parent_slug")).distinct()
     return cu.remaining_evidence(v.obs, v.edges, keys.unionByName(never))
+
+
+@query
+def request_keys(v: Views) -> DataFrame:
+    """Queries typed in several spellings, with the cache key that they share."""
+    parts = v.table("part").select(
+        "p_partkey", F.concat(F.lit(" N"), "p_partkey").alias("query"), F.lit("web").alias("provider"),
+        F.lit("search").alias("kind"), F.when(F.col("p_partkey") % 2 == 0, "deep").alias("extra"))
+    return ca.with_request_keys(parts, v.strains).select("p_partkey", "cache_key")
+
+
+@query
+def found_entities(v: Views) -> DataFrame:
+    """Entities by slug, by alias, or by name ignoring case; a third of the names are unknown."""
+    shape = F.col("p_partkey") % 3
+    name = (F.when(shape == 0, F.concat(F.lit(" N"), "p_partkey"))
+            .when(shape == 1, F.concat(F.upper("p_name"), F.lit(" "), "p_partkey"))
+            .otherwise(F.concat(F.lit("nobody "), "p_partkey")))
+    names = v.table("part").select("p_partkey", name.alias("name"))
+    return al.find_entity(names, v.strains).select("p_partkey", "slug")
