@@ -17,6 +17,7 @@ from attesta import schemas as S
 from attesta import vocab as V
 from attesta.functions import text as tx
 from attesta.operators import aliases as al
+from attesta.operators import evidence as ev
 from attesta.operators import gate as gt
 
 
@@ -194,6 +195,19 @@ def apply_alias_events(strains: DataFrame, events: DataFrame) -> tuple[DataFrame
     return out, folded.filter(F.col("error").isNotNull())
 
 
+def alias_update(tables: dict[str, DataFrame], events: DataFrame) -> dict[str, DataFrame]:
+    """Alias events with what follows from them.
+
+    Observations that waited under a name that is now an alias are released,
+    their claims shown again, and edges and tiers derived anew.
+    """
+    strains, refused = apply_alias_events(tables["strains"], events)
+    obs = gt.run_gate(tables["lineage_sources"], strains)
+    edges, derived = ev.recompute(obs, strains)
+    return {"strains": derived, "lineage_sources": obs, "lineage_edges": edges,
+            "claims": gt.sync_claims(tables["claims"], obs), "errors": refused}
+
+
 # --- pending parents --------------------------------------------------------
 
 def resolve_parents(obs: DataFrame, claims: DataFrame, strains: DataFrame, events: DataFrame

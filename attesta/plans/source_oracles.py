@@ -96,3 +96,13 @@ select p.p_partkey, coalesce(s.slug, n.slug) as slug from (
 left join amap m on m.alias = regexp_replace(lower(trim(p.name)), '\\s+', '-', 'g')
 left join strains s on s.slug = m.slug
 left join (select lower(name) as l, min(slug) as slug from strains group by 1) n on n.l = lower(trim(p.name))""")
+
+O["alias_release"] = wv("gated amap", """
+select w.parent_slug, w.rows, w.held, w.gated, e.edges
+from (select parent_slug, count(*) as rows, count(*) filter (where quarantined or still) as held,
+             count(*) filter (where still) as gated from now group by 1) w
+left join (select coalesce(p.slug, n.parent_slug) as parent_slug, count(distinct coalesce(c.slug, n.child_slug)) as edges
+           from now n left join known p on p.alias = n.parent_slug left join known c on c.alias = n.child_slug
+           where not (quarantined or still) group by 1) e on e.parent_slug = w.parent_slug""",
+    now="select *, gate and parent_slug not in ('n3', 'n9') as still from gated",
+    known="select alias, slug from amap union all values ('n3', 'n1'), ('n9', 'n7')")

@@ -188,3 +188,17 @@ def found_entities(v: Views) -> DataFrame:
             .otherwise(F.concat(F.lit("nobody "), "p_partkey")))
     names = v.table("part").select("p_partkey", name.alias("name"))
     return al.find_entity(names, v.strains).select("p_partkey", "slug")
+
+
+@query
+def alias_release(v: Views) -> DataFrame:
+    """n3 becomes an alias of n1 and n9 one of n7: what waited under them is released and derived."""
+    events = v.spark.range(2).select(
+        F.when(F.col("id") == 0, "n1").otherwise("n7").alias("slug"), F.when(F.col("id") == 0, "N3").otherwise("N9").alias("alias"),
+        F.lit("add").alias("op"), F.col("id").alias("seq"))
+    out = cu.alias_update({"strains": v.strains, "lineage_sources": v.gated, "claims": v.claims}, events)
+    waiting = out["lineage_sources"].groupBy("parent_slug").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("quarantined").alias("held"),
+        F.count_if(F.col("quarantine_reason").isNotNull()).alias("gated"))
+    edges = out["lineage_edges"].groupBy("parent_slug").agg(F.count(F.lit(1)).alias("edges"))
+    return waiting.join(edges, "parent_slug", "left")
