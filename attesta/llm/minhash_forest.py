@@ -39,6 +39,8 @@ TARGET_RECALL = 0.99999
 MARGIN = 5.5
 #: Representatives of a node, or of a candidate group, that one block holds.
 NODE_BLOCK, GROUP_BLOCK = 8192, 512
+#: Bytes of text that one block of a candidate group holds on average.
+GROUP_OCTETS = 32 << 20
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -267,9 +269,12 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
 
-def _blocks(df: DataFrame, size: str, most: int) -> DataFrame:
-    """A row for each pair of blocks (i <= j) of its group that the row's block takes part in."""
-    n = F.greatest(F.lit(1), F.ceil(F.col(size) / most)).cast("int")
+def _blocks(df: DataFrame, **most: int) -> DataFrame:
+    """A row for each pair of blocks (i <= j) of its group that the row's block takes part in.
+
+    ``most`` names columns with a total of the group and how much of it a block may hold.
+    """
+    n = F.greatest(F.lit(1), *[F.ceil(F.col(c) / m).cast("int") for c, m in most.items()])
     block = F.pmod(F.xxhash64("rep"), n).cast("int")
     df = df.withColumn("_n", n).withColumn("block", block).withColumn(
         "_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
@@ -281,36 +286,37 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", target: fl
     t = text_of(text)
     depth = depth_for(target)
     r1, r2 = row_keys(F.col(doc_id), t)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(t), r1.alias("_r1"), r2.alias("_r2"), t.alias("_text"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(t), r1.alias("_r1"), r2.alias("_r2"),
+                       F.octet_length(t).cast("long").alias("octets"), t.alias("_text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    made = slim.mapInPandas(_sketch(depth), f"doc_id {kind}, _k1 long, _k2 long, _r1 long, _r2 long, "
+    made = slim.mapInPandas(_sketch(depth), f"doc_id {kind}, _k1 long, _k2 long, _r1 long, _r2 long, octets long, "
                             "_d1 long, _d2 long, keys array<long>, sketch binary")
     made = materialize(made.withColumn("_tag", F.monotonically_increasing_id()), "sketches")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tag")
     reps = materialize(made.groupBy("_d1", "_d2").agg(
-        F.min(F.struct("_tag", "keys", "sketch", "_k1", "_k2")).alias("r"), F.count(F.lit(1)).alias("weight"),
-        F.min(best).alias("best")).select("_d1", "_d2", "weight", "best", "r.keys", "r.sketch", "r._k1", "r._k2",
+        F.min(F.struct("_tag", "keys", "sketch", "_k1", "_k2", "octets")).alias("r"), F.count(F.lit(1)).alias("weight"),
+        F.min(best).alias("best")).select("_d1", "_d2", "weight", "best", "r.keys", "r.sketch", "r._k1", "r._k2", "r.octets",
                                           F.col("r._tag").alias("rep")), "reps")
 
     # The forest: representatives under one node of one tree.
     under = reps.select("rep", F.explode("keys").alias("key"))
     nodes = under.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     shared = under.join(nodes, "key", "inner").join(reps.select("rep", "sketch"), "rep", "inner")
-    shared = _blocks(shared, "members", NODE_BLOCK).select("key", "i", "j", "rep", "sketch")
+    shared = _blocks(shared, members=NODE_BLOCK).select("key", "i", "j", "rep", "sketch")
     near = (shared.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
             .mapInPandas(_near(depth), "a long, b long"))
     groups = components(near).withColumnRenamed("root", "comp").withColumnRenamed("node", "rep")
 
     # Exact verification of the groups, on texts read again.
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    members = (groups.join(sizes, "comp", "inner")
-               .join(reps.select("rep", "weight", "_k1", "_k2"), "rep", "inner"))
-    members = materialize(members, "members")
+    members = materialize(groups.join(reps.select("rep", "weight", "octets", "_k1", "_k2"), "rep", "inner"), "members")
+    sizes = materialize(members.groupBy("comp").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("octets").alias("volume")), "sizes")
     # The members grow with the corpus, so the plan is the same at every size: both sides are dealt out.
     texts = (docs.select(t.alias("_text"), *row_keys(t))
              .join(members.select("_k1", "_k2").hint("merge"), ["_k1", "_k2"], "left_semi")
              .dropDuplicates(["_k1", "_k2"]))
-    rows = _blocks(members.join(texts, ["_k1", "_k2"], "inner"), "members", GROUP_BLOCK)
+    rows = _blocks(members.join(sizes, "comp", "inner").join(texts, ["_k1", "_k2"], "inner"),
+                   members=GROUP_BLOCK, volume=GROUP_OCTETS)
     checked = (rows.select("comp", "i", "j", "rep", "weight", "block", "_text")
                .repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rep")
                .mapInPandas(_verify, "rep long, links long, root long"))
