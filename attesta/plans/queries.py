@@ -732,8 +732,8 @@ def stream_first_urls(v: Views) -> DataFrame:
 def stream_spend(v: Views) -> DataFrame:
     passes = _event_stream(v).select("ts", F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("tokens"))
     out = _folder(v, "spend")
-    lv.run_to_folder(lv.spend_by_window(passes), out, _folder(v, "spend-log"), mode="complete")
-    return v.spark.read.parquet(out)
+    lv.run_to_folder(lv.spend_by_window(passes), out, _folder(v, "spend-log"), mode="update")
+    return lv.latest(v.spark.read.parquet(out), "window_start")
 
 
 @query

@@ -75,36 +75,49 @@ def merge_stream(spark: SparkSession, docs_path: str, root: str, checkpoint: str
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+#: Folders that observations and tier changes are dealt into by child.
+FEED_BUCKETS = 256
+_STORED = S.OBSERVATIONS + ", raw_child STRING, raw_parent STRING, bucket INT, batch BIGINT"
+
+
+def _append(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch below its buckets; a replayed batch replaces its own folders only."""
+    (rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path))
+
+
 def tier_feed(root: str, strains: DataFrame):
     """``foreachBatch`` function that keeps child tiers current and records changes.
 
-    Observations append to ``root/obs``; only children named in the batch are
-    derived again, from all of their observations, with the same skew-proof
-    aggregates as a full derivation.  ``root/changes`` gets a row per child
-    whose tier moved.
+    Observations append to ``root/obs``, resolved, in a fixed number of buckets
+    by child.  Only children named in the batch are derived again, from all of
+    their observations, and only their buckets are read.  ``root/changes`` gets
+    a row per child whose tier moved.
     """
     pairs = al.alias_pairs(strains)
+    bucket = F.pmod(F.xxhash64("child_slug"), F.lit(FEED_BUCKETS)).cast("int")
 
     def step(obs: DataFrame, batch_id: int) -> None:
         spark = obs.sparkSession
-        mine = f"{root}/obs/batch={batch_id}"
-        S.conform(obs, S.OBSERVATIONS).write.mode("overwrite").parquet(mine)
-        every = spark.read.schema(S.struct_of(S.OBSERVATIONS + ", batch BIGINT")).parquet(f"{root}/obs")
-        every = every.filter(F.col("batch") <= batch_id).drop("batch")
-        canon = ev.canonical_observations(every, pairs)
-        touched = ev.canonical_observations(spark.read.schema(S.struct_of(S.OBSERVATIONS)).parquet(mine), pairs)
-        touched = materialize(touched.select("child_slug").distinct(), "touched")
-        part = materialize(canon.join(touched, "child_slug", "left_semi"), "part")
+        fresh = ev.canonical_observations(S.conform(obs, S.OBSERVATIONS), pairs).withColumn("bucket", bucket)
+        fresh = materialize(fresh, "batch")
+        _append(fresh, f"{root}/obs", batch_id)
+        touched = materialize(fresh.select("child_slug", "bucket").distinct(), "touched")
+        read = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # FEED_BUCKETS numbers at most
+        here = F.col("bucket").isin(read)
+        every = spark.read.schema(_STORED).parquet(f"{root}/obs").filter(here & (F.col("batch") <= batch_id))
+        part = materialize(every.join(touched.select("child_slug"), "child_slug", "left_semi").drop("bucket", "batch"), "part")
         tiers = ev.child_tiers(ev.derive_edges(part), part)
         if path_exists(spark, f"{root}/changes"):
-            seen = spark.read.schema("child_slug STRING, tier STRING, batch BIGINT").parquet(f"{root}/changes")
-            before = (seen.filter(F.col("batch") < batch_id).join(touched, "child_slug", "left_semi")
+            seen = spark.read.schema("child_slug STRING, tier STRING, bucket INT, batch BIGINT").parquet(f"{root}/changes")
+            before = (seen.filter(here & (F.col("batch") < batch_id))
+                      .join(touched.select("child_slug"), "child_slug", "left_semi")
                       .groupBy("child_slug").agg(F.max_by("tier", "batch").alias("was")))
             tiers = tiers.join(before, "child_slug", "left")
         else:
             tiers = tiers.withColumn("was", F.lit(None).cast("string"))
         moved = tiers.filter(~F.col("machine_tier").eqNullSafe(F.col("was")))
-        moved.select("child_slug", F.col("machine_tier").alias("tier")).write.mode("overwrite") \
-            .parquet(f"{root}/changes/batch={batch_id}")
+        _append(moved.select("child_slug", F.col("machine_tier").alias("tier"), bucket.alias("bucket")),
+                f"{root}/changes", batch_id)
 
     return step

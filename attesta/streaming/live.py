@@ -28,12 +28,20 @@ def run_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
                   trigger: dict | None = None) -> None:
     """Drain what is available into a Parquet folder, exactly once.
 
-    In ``complete`` mode each trigger replaces the folder by the full result.
+    In ``update`` mode each trigger writes the rows that changed below its own
+    ``batch=`` folder; ``latest`` reads the standing row of each key.
     """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+        query = writer.foreachBatch(
+            lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")).start()
     query.awaitTermination()
+
+
+def latest(updates: DataFrame, *key: str) -> DataFrame:
+    """The last written row of each key of an ``update`` folder."""
+    rest = [c for c in updates.columns if c not in (*key, "batch")]
+    return updates.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
