@@ -82,14 +82,15 @@ def repeated_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", l
 
     # The join sides below are written first: as plain tables of one row per key they let
     # adaptive execution split the windows of a line or passage that very many documents have.
+    # They grow with the corpus, so both sides are dealt out at every size.
     shared = materialize(windows.groupBy("fp").agg(F.min("place").alias("a"), F.max("place").alias("b"))
                          .filter("a <> b").select("fp"), "fingerprints")
     place = F.struct("doc_id", "_k1", "_k2", "start", "end")
-    around = windows.join(shared, "fp", "left_semi").select("c1", "c2", place.alias("at"))
+    around = windows.join(shared.hint("merge"), "fp", "left_semi").select("c1", "c2", place.alias("at"))
     firsts = materialize(around.groupBy("c1", "c2").agg(F.min("at").alias("first"), F.max("at").alias("last"))
                          .filter("first <> last").select("c1", "c2", "first"), "firsts")
     same_doc = (F.col("at._k1") == F.col("first._k1")) & (F.col("at._k2") == F.col("first._k2"))
-    later = (around.join(firsts, ["c1", "c2"], "inner")
+    later = (around.join(firsts.hint("merge"), ["c1", "c2"], "inner")
              .filter(~same_doc | (F.col("at.start") > F.col("first.end")))
              .select("at._k1", "at._k2", "at.start", "at.end"))
 
