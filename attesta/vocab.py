@@ -241,6 +241,5 @@ LEAD_MIN_FRAGMENT = 12
 EXCERPT_CHARS = 220
 PACK_TEXT_CHARS = 2400
 PACK_TOTAL_CHARS = 14000
-ARTICLE_CHARS = 8000
 ARCHIVE_LOOKUPS = 10
 MAX_HOPS = 3
