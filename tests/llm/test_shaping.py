@@ -78,6 +78,24 @@ def test_mixing(spark):
     assert sum(len(cases.words(r.text)) for r in mixed) == sum(r.taken for r in got)
 
 
+def test_mixing_small_sources_beside_large_blocks(spark):
+    """One slot for the whole corpus makes blocks of MAX_BLOCK words; small sources still meet their targets."""
+    small = (100, 150, 300, 600, 1000, 2000, 2049, 3000, 4100, 5000)
+    rows = [(i, cases.prose(i, 1000), source) for i in range(240) for source in ("a", "zz")]
+    for k, n in enumerate(small):
+        rows += [(1000 + 100 * k + j, cases.prose(1000 + 100 * k + j, min(90, n - j)), f"m{k:02}") for j in range(0, n, 90)]
+    got = mixing.mix(cases.frame(spark, rows), slots=1).collect()
+    names = sorted({s for _, _, s in rows})
+    sizes = {n: sum(len(cases.words(t)) for _, t, s in rows if s == n) for n in names}
+    assert [sizes[f"m{k:02}"] for k in range(len(small))] == list(small)
+    want = _targets(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)})
+    for n in names:
+        own = [r for r in got if r.source == n]
+        taken = sum(r.taken for r in own)
+        assert abs(taken - want[n]) <= 4 + 0.01 * want[n], (n, sizes[n], want[n], taken)
+        assert all(r.taken <= 3 * r["size"] for r in own)
+
+
 def test_mixing_without_words(spark):
     got = mixing.mix(cases.frame(spark, [(1, None, "a"), (2, " ", None)])).collect()
     assert [(r["size"], r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
