@@ -12,6 +12,9 @@ maximal runs, and these are deleted.
 "Before" is by doc_id (null first), then by a hash of the row, then by line.
 No pairs are made: a place is compared with the first place of its content.
 
+Whole lines are the only unit: a repeated passage that lies inside longer lines
+stays, unless its whole lines alone have 50 words.
+
 Defined results: lines are equal when they are after trimming blanks; lines
 without words are skipped, and deleted inside a run; a run that repeats itself
 keeps its first window; rows equal in doc_id and text count as one document; a
