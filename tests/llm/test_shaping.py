@@ -96,6 +96,21 @@ def test_mixing_small_sources_beside_large_blocks(spark):
         assert all(r.taken <= 3 * r["size"] for r in own)
 
 
+def test_mixing_many_sources(spark):
+    """More sources than fit a list in the plan, beside one with half of the words."""
+    n = 120_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("h"), F.col("id")).alias("source"),
+                                 F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 9 + 1).cast("int"))).alias("text"))
+    hot = spark.range(n).select((F.col("id") + n).alias("doc_id"), F.lit("a").alias("source"), F.lit("v v v v v").alias("text"))
+    got = mixing.mix(docs.union(hot)).groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("source_size"),
+        F.sum("size").alias("size")).collect()
+    assert len(got) == n + 1 and all(r.source_size == r.size for r in got)
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(r.source for r in got))}
+    want = _targets({r.source: r.size for r in got}, weights)
+    assert all(abs(r.target - want[r.source]) < 1e-3 and abs(r.taken - r.target) <= 4 + 0.01 * r.target for r in got)
+
+
 def test_mixing_without_words(spark):
     got = mixing.mix(cases.frame(spark, [(1, None, "a"), (2, " ", None)])).collect()
     assert [(r["size"], r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
