@@ -1,10 +1,10 @@
 """Operator 2, n-gram Jaccard join: a MinHash LSH forest and exact verification.
 
 Texts become sets of hashed five-word shingles; equal sets are one
-representative with a weight.  A forest of prefix trees indexes the signatures;
-prefixes are shortened from the full depth until the trees together reach the
-target recall at the similarity bound, and the representatives below one node
-are candidates.  Inside a node, one-byte sketches of the whole signature keep
+representative with a weight.  Signatures are banded at one fixed depth (a
+"tree" is a band, a "node" its key): the largest one at which the bands together
+reach the target recall at the similarity bound, known before any row is read.
+No tries are built.  The representatives of one node are candidates.  Inside a node, one-byte sketches of the whole signature keep
 the representatives together that may be similar (with a margin of more than
 five standard deviations); the connected groups are then read again and all
 their pairs are verified on the full sets, in blocks that emit one row per
