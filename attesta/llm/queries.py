@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm import (
     chunk_dedup, host_quality, labelled, line_dedup, minhash_forest, mixing, packing, quality_nbsvm,
-    range_shards, secret_scan, toxicity,
+    range_shards, secret_scan, token_alignment, token_counts, toxicity, whitening,
 )
 from attesta.llm.common import read, tagged
 
@@ -66,6 +66,18 @@ def op10_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.score(docs, model)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_quality": op1_host_quality,
     "op2_minhash_forest": op2_minhash_forest,
@@ -77,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_quality_nbsvm": op10_quality_nbsvm,
+    "op11_token_counts": op11_token_counts,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_whitening": op13_whitening,
 }
