@@ -23,7 +23,7 @@ from attesta.session import write_step
 
 SLOTS = 20        # entities per part
 HUBS = 21         # parents are n1 .. n21
-_SHARED: dict[tuple[str, str], Views] = {}
+_SHARED: dict[tuple[str, str], tuple[tuple, Views]] = {}
 
 
 def epoch(column: str) -> F.Column:
@@ -32,6 +32,15 @@ def epoch(column: str) -> F.Column:
     return days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
 
 
+def files_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """A digest of path, length and time of every file of a folder (no content is read)."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sf_dir.rstrip("/"))
+             .select("path", "length", "modificationTime"))
+    state = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"),
+                      F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("digest"))
+    return tuple(state.first())
+
+
 class Views:
     """Lazily built views: ``v.obs``, ``v.strains``, ``v.sources``, ``v.claims`` …"""
 
@@ -41,11 +50,16 @@ class Views:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Views:
-        """The views of one folder, with their stored steps shared by all queries of a session."""
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-        if key not in _SHARED:
-            _SHARED[key] = cls(spark, sf_dir)
-        return _SHARED[key]
+        """The views of one folder; queries of a session share their stored steps while its files stay the same."""
+        key, state = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), files_of(spark, sf_dir)
+        if key not in _SHARED or _SHARED[key][0] != state:
+            _SHARED[key] = state, cls(spark, sf_dir)
+        return _SHARED[key][1]
+
+    @staticmethod
+    def forget() -> None:
+        """Let the next query write its own steps."""
+        _SHARED.clear()
 
     def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A step that is written once; written anew if its folder has gone."""

@@ -523,6 +523,18 @@ select cast(p_partkey as varchar) as run_id, 'Child ' || p_partkey as child, {_T
        'https://p.example.com/' || p_partkey as source_url
 from part where p_partkey % 5 < 3"""
 
+# One row per pair and text, in the order of the patterns; equal names are no pair.
+O["extract_from_documents"] = """
+with d as (select doc_id as n, 'Alpha' || doc_id as a, 'Beta' || doc_id % 7 as b, 'Gamma' || doc_id % 3 as g from documents),
+said as (
+  select n, 0 as pos, a as parent_a, b as parent_b, '' as extra_parents from d where n % 6 = 0
+  union all select n, 0, a, b, g from d where n % 6 = 1
+  union all select n, 0, a, b, '' from d where n % 6 = 2
+  union all select n, 0, b, a, '' from d where n % 6 = 3
+  union all select n, 1, 'Delta' || n, g, '' from d where n % 6 = 3
+  union all select n, 0, b, a, '' from d where n % 6 = 4)
+select cast(n as varchar) as run_id, pos, parent_a, parent_b, extra_parents from said"""
+
 O["model_response_validation"] = wv("log", """
 select cast(event_id as varchar) as run_id, case when k % 6 = 0 then 'Subject' else 'C' || k end as child,
        case when k % 7 = 0 then 'B' else 'A' || k end as parent_a, case when k % 7 = 0 then '' else 'B' end as parent_b,

@@ -577,12 +577,26 @@ def extract_lineage(v: Views) -> DataFrame:
 
 @query
 def extract_from_documents(v: Views) -> DataFrame:
-    """Cross patterns over the whole text of every document."""
+    """Crosses written into the middle of every document, found again in its whole text.
+
+    One in six documents has none; others state one pair twice, two pairs, or a list.
+    """
+    n, shape = F.col("doc_id"), F.col("doc_id") % 6
+    said = (F.when(shape == 0, F.concat(F.lit("Alpha"), n, F.lit(" × Beta"), n % 7))
+            .when(shape == 1, F.concat(F.lit("Genetics: Alpha"), n, F.lit(", Beta"), n % 7, F.lit(" and Gamma"), n % 3))
+            .when(shape == 2, F.concat(F.lit("It was bred from Alpha"), n, F.lit(" and Beta"), n % 7,
+                                       F.lit(".\nA cross of Alpha"), n, F.lit(" and Beta"), n % 7))
+            .when(shape == 3, F.concat(F.lit("Beta"), n % 7, F.lit(" × Alpha"), n, F.lit(".\n(Delta"), n, F.lit(" x Gamma"),
+                                       n % 3, F.lit(")")))
+            .when(shape == 4, F.concat(F.lit("a cross of Alpha"), n, F.lit(" and Alpha"), n, F.lit(".\nhybrid of Beta"), n % 7,
+                                       F.lit(" and Alpha"), n)).otherwise("no parents are known"))
+    text, half = tx.text_of("text"), F.floor(F.length(tx.text_of("text")) / 2).cast("int")
+    whole = F.concat(F.left(text, half), F.lit(".\n"), said, F.lit(".\n"), F.substr(text, half + 1))
     docs = v.table("documents").select(
-        F.col("doc_id").cast("string").alias("run_id"), F.lit("").alias("query"), F.lit(0).alias("rank"),
-        F.lit("").alias("title"), F.concat(F.lit("doc:"), "doc_id").alias("url"),
-        F.col("text").alias("snippet"), "source")
-    return ex.extract_claims(docs).select("run_id", "pos", "parent_a", "parent_b")
+        n.cast("string").alias("run_id"), F.lit("").alias("query"), F.lit(0).alias("rank"),
+        F.lit("").alias("title"), F.concat(F.lit("doc:"), "doc_id").alias("url"), whole.alias("snippet"), "source")
+    return ex.extract_claims(docs).select(
+        "run_id", "pos", "parent_a", "parent_b", F.array_join("extra_parents", "|").alias("extra_parents"))
 
 
 @query
