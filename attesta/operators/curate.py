@@ -7,10 +7,7 @@ refused events.  Nothing is updated in place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import schemas as S
@@ -19,6 +16,7 @@ from attesta.functions import text as tx
 from attesta.operators import aliases as al
 from attesta.operators import evidence as ev
 from attesta.operators import gate as gt
+from attesta.session import materialize
 
 
 def _latest(events: DataFrame, key: list[str]) -> DataFrame:
@@ -127,57 +125,96 @@ def remaining_evidence(obs: DataFrame, edges: DataFrame, keys: DataFrame) -> Dat
 
 # --- aliases ----------------------------------------------------------------
 
-_FOLDED = ("alias STRING, seq BIGINT, op STRING, slug STRING, owner STRING, error STRING")
-
-
-def _fold_owner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk events in (alias, seq) order carrying only the current owner."""
-    alias = owner = None
-    for batch in batches:
-        owners, errors = [], []
-        for r in batch.itertuples(index=False):
-            if r.alias != alias:
-                alias, owner = r.alias, r.owner
-            error = None
-            if not r.on_file:
-                error = "unknown entity"
-            elif r.alias == r.slug:
-                pass
-            elif r.op == "add":
-                if not r.alias:
-                    error = "alias is required"
-                elif r.is_slug:
-                    error = "already an entity slug"
-                elif owner is not None and owner != r.slug:
-                    error = "already an alias of another entity"
-                else:
-                    owner = r.slug
-            elif r.op == "remove" and owner == r.slug:
-                owner = None
-            owners.append(owner)
-            errors.append(error)
-        yield batch[["alias", "seq", "op", "slug"]].assign(owner=owners, error=errors)
+# What happens to the owner of an alias is a function of the owner before: what nobody's alias becomes,
+# and what the alias of each of a few named owners becomes (any other stays).
+_MOVE = "struct<none:string,named:map<string,string>>"
+#: Events of a chunk are 2**CHUNK_BITS at most; the partitions of the ordered events hold its next level.
+CHUNK_BITS, PARTITION_BITS = 10, 33
+
+
+def _after(move: Column, owner: Column) -> Column:
+    named = move["named"]
+    return F.when(owner.isNull(), move["none"]).when(
+        F.map_contains_key(named, owner), F.element_at(named, owner)).otherwise(owner)
+
+
+def _compose(moves: Column) -> Column:
+    """One move that does what all do in turn."""
+    def then(done: Column, move: Column) -> Column:
+        new = F.map_filter(move["named"], lambda k, _: ~F.map_contains_key(done["named"], k))
+        return F.struct(_after(move, done["none"]).alias("none"),
+                        F.map_concat(F.transform_values(done["named"], lambda _, v: _after(move, v)), new).alias("named"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("none"), F.create_map().cast("map<string,string>").alias("named"))
+    return F.aggregate(moves, nothing.cast(_MOVE), then)
+
+
+def _owners_before(items: Column, owner: Column) -> Column:
+    """``(at, owner)`` before each item's move, the first one's owner being given."""
+    start = F.struct(owner.alias("now"), F.array().cast("array<struct<at:bigint,owner:string>>").alias("seen"))
+    return F.aggregate(items, start, lambda s, x: F.struct(
+        _after(x["move"], s["now"]).alias("now"),
+        F.concat(s["seen"], F.array(F.struct(x["at"].alias("at"), s["now"].alias("owner")))).alias("seen")))["seen"]
+
+
+def _in_order() -> Column:
+    """Gathered ``(at, move)`` by place (moves hold maps, which have no order)."""
+    by_place = lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+    return F.array_sort(F.collect_list(F.struct("at", "move")), by_place)
+
+
+def _level(moves: DataFrame, group: Column, label: str) -> DataFrame:
+    """``(alias, at, items, move)``: consecutive moves of an alias gathered by a coarser place."""
+    made = moves.groupBy("alias", group.alias("up")).agg(_in_order().alias("items"))
+    return materialize(made.select("alias", F.col("up").alias("at"), "items", _compose(F.col("items.move")).alias("move")), label)
 
 
 def fold_alias_events(strains: DataFrame, events: DataFrame) -> DataFrame:
     """Outcome of every alias event ``(slug, alias, op, seq)``, op add or remove.
 
-    Ownership of one alias is a serial history, so events are hash-partitioned
-    by alias, sorted (spilling if need be) and walked with constant memory.
+    Ownership of an alias is a serial history, yet no task walks one.  Events
+    are ordered by range partitions, which cut a popular alias where needed;
+    each event is a move from owner to owner, moves of a chunk compose to one,
+    chunks of a partition and partitions of an alias likewise.  The owner on
+    file then goes down the levels: each place passes to its parts the owner
+    that they start with.  A move names at most the owners that its events do.
     """
     pairs = al.alias_pairs(strains)
     ev = events.withColumns({"slug": tx.slug("slug"), "alias": tx.slug("alias")})
     ev = al.resolve(ev, pairs, "slug")
-    owners = pairs.select("alias", F.col("slug").alias("owner"))
+    owners = pairs.select("alias", F.col("slug").alias("on_record"))
     slugs = strains.select("slug")
-    ready = (ev.join(owners, "alias", "left")
-             .join(slugs.select(F.col("slug").alias("alias"), F.lit(True).alias("is_slug")), "alias", "left")
+    ready = (ev.join(slugs.select(F.col("slug").alias("alias"), F.lit(True).alias("is_slug")), "alias", "left")
              .join(slugs.select("slug", F.lit(True).alias("on_file")), "slug", "left")
-             .select("alias", F.col("seq").cast("bigint").alias("seq"), "op", "slug", "owner",
-                     F.coalesce("is_slug", F.lit(False)).alias("is_slug"),
-                     F.coalesce("on_file", F.lit(False)).alias("on_file")))
-    ordered = ready.repartition("alias").sortWithinPartitions("alias", "seq")
-    return ordered.mapInPandas(_fold_owner, _FOLDED)
+             .select("alias", F.col("seq").cast("bigint").alias("seq"), "op", "slug",
+                     F.when(F.col("on_file").isNull(), "unknown entity")
+                     .when(F.col("alias") == F.col("slug"), "")
+                     .when(F.col("op") != "add", F.when(F.col("op") != "remove", ""))
+                     .when(F.col("alias") == "", "alias is required")
+                     .when(F.col("is_slug"), "already an entity slug").alias("void")))
+    placed = ready.repartitionByRange("alias", "seq", "op", "slug").sortWithinPartitions("alias", "seq", "op", "slug")
+    placed = materialize(placed.withColumn("at", F.monotonically_increasing_id()), "alias-events")
+
+    # An event that is void, an error or not, moves nothing.
+    none, named = F.lit(None).cast("string"), F.create_map().cast("map<string,string>")
+    adds, removes = (F.col("void").isNull() & (F.col("op") == op) for op in ("add", "remove"))
+    move = F.struct(F.when(adds, F.col("slug")).otherwise(none).alias("none"),
+                    F.when(removes, F.create_map("slug", none)).otherwise(named).alias("named"))
+    chunks = _level(placed.select("alias", "at", move.alias("move")), F.shiftright("at", CHUNK_BITS), "chunks")
+    parts = _level(chunks.select("alias", "at", "move"), F.shiftright("at", PARTITION_BITS - CHUNK_BITS), "parts")
+    tops = parts.groupBy("alias").agg(_in_order().alias("items"))
+
+    def pass_down(level: DataFrame) -> DataFrame:
+        told = level.select("alias", F.explode(_owners_before(F.col("items"), F.col("owner"))).alias("b"))
+        return told.select("alias", F.col("b.at").alias("at"), F.col("b.owner").alias("owner"))
+
+    at_parts = pass_down(tops.join(owners, "alias", "left").withColumnRenamed("on_record", "owner"))
+    at_chunks = pass_down(parts.join(at_parts, ["alias", "at"]))
+    before = pass_down(chunks.join(at_chunks, ["alias", "at"])).withColumnRenamed("owner", "was")
+    taken = adds & F.col("was").isNotNull() & (F.col("was") != F.col("slug"))
+    return placed.join(before, ["alias", "at"]).select(
+        "alias", "seq", "op", "slug", _after(move, F.col("was")).alias("owner"),
+        F.when(taken, "already an alias of another entity").otherwise(F.nullif("void", F.lit(""))).alias("error"))
 
 
 def apply_alias_events(strains: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

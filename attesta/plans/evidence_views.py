@@ -73,6 +73,11 @@ class Views:
         self._steps[name] = write_step(df, name), df.schema
         return self._stored(name, make)
 
+    def path_of(self, name: str) -> str:
+        """Where the step of that name is stored."""
+        getattr(self, name)
+        return self._steps[name][0]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

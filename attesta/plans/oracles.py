@@ -601,6 +601,49 @@ from events"""
 O["stream_spend"] = wv("log", """
 select tm - tm % 86400 as window_start, count(*) as calls, cast(sum(k) as bigint) as tokens from log group by 1""")
 
+# A block is coded as 1000 * length - place in x: the longest, of equal ones the first; its place in y is the first.
+_BLOCK = """coalesce(list_max(flatten(list_transform(range(1, length({x}) + 1), lambda i: list_transform(
+  range(1, length({x}) - i + 2), lambda l: case when contains({y}, substr({x}, i, l)) then 1000 * l - i else 0 end)))), 0)"""
+_COMMON = " + ".join(f"least(length(name) - length(replace(name, '{c}', '')), length(needle) - length(replace(needle, '{c}', '')))"
+                     for c in "abcdefghijklmnopqrstuvwxyz0123456789 ")
+O["fuzzy_suggestions"] = wv("strains", """
+select needle, place, slug, name, ppm from (
+  select needle, slug, name, cast(floor(1000000 * (2.0 * m / (length(name) + length(needle)))) as bigint) as ppm,
+         cast(row_number() over (partition by needle order by 2.0 * m / (length(name) + length(needle)) desc, name desc, slug) as integer) as place
+  from (select needle, name, sum((code + 999) // 1000) as m from walk group by 1, 2) join strains using (name)
+  where 2.0 * m / (length(name) + length(needle)) >= 0.7)
+where place <= 4""", asked="""
+select distinct substr(p_name, 2, 1) || substr(p_name, 1, 1) || substr(p_name, 3) as needle from part""", pairs=f"""
+select needle, name from asked, (select distinct name from strains)
+where 2.0 * least(length(name), length(needle)) >= 0.7 * (length(name) + length(needle))
+  and 2.0 * ({_COMMON}) >= 0.7 * (length(name) + length(needle))""", walk=f"""
+select needle, name, name as x, needle as y, {_BLOCK.format(x="name", y="needle")} as code from pairs
+union all
+select needle, name, x, y, {_BLOCK.format(x="x", y="y")} as code from (
+  select needle, name, unnest([substr(x, 1, i - 1), substr(x, i + l)]) as x, unnest([substr(y, 1, j - 1), substr(y, j + l)]) as y
+  from (select *, strpos(y, substr(x, i, l)) as j from (
+          select *, (code + 999) // 1000 as l, 1000 * ((code + 999) // 1000) - code as i from walk where code > 0)))
+where x <> '' and y <> ''""")
+
+# Event by event: who owns an alias after its first rn events, and how many of them were refused.
+O["alias_fold"] = wv("strains log", """
+select w.alias, w.owner, w.refused from walk w
+join (select alias, max(rn) as rn from e group by 1) last using (alias, rn)""", e="""
+select *, row_number() over (partition by alias order by event_id) as rn, alias in (select slug from strains) as taken,
+       slug in (select slug from strains) as on_file
+from (select event_id, event_type, 'n' || (100 + k % 7) as slug,
+             case when k % 19 = 0 then 'n5000000' when k % 23 = 0 then 'n' || ((select count(*) from part) - 1)
+                  else 'aka-' || user_id end as alias from log)""", walk="""
+select distinct alias, cast(0 as bigint) as rn, cast(null as varchar) as owner, cast(0 as bigint) as refused from e
+union all
+select w.alias, e.rn,
+       case when not on_file then owner when event_type = 'error' then case when owner = slug then null else owner end
+            when taken then owner else coalesce(owner, slug) end,
+       refused + case when not on_file or (event_type <> 'error' and (taken or coalesce(owner, slug) <> slug)) then 1 else 0 end
+from walk w join e on e.alias = w.alias and e.rn = w.rn + 1""")
+
+O["stream_tiers"] = wv("tiers", "select child as child_slug, machine_tier as tier from tiers")
+
 O["stream_merge_equals_batch"] = wv("log", """
 select child as child_slug, parent as parent_slug, count(distinct url) as source_count,
        count(distinct dom) as domain_count,

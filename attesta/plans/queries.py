@@ -28,9 +28,9 @@ from attesta.operators import upserts as up
 from attesta.plans.evidence_views import HUBS as V_HUBS, Views, epoch
 from attesta.session import checkpoint_root
 from attesta.sources import ledger as lg
-from attesta.sources import tables as tb
 from attesta.streaming import ingest as ig
 from attesta.streaming import live as lv
+from attesta.streaming import tiers as ti
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,7 +366,11 @@ def search_scores(v: Views) -> DataFrame:
 
 @query
 def fuzzy_suggestions(v: Views) -> DataFrame:
-    return rd.suggest_similar(v.strains, "bleu bolt 120", 4).select("slug", "name", "ratio")
+    """The four closest entities of every part name with its first two letters swapped."""
+    name = F.col("p_name")
+    asked = v.table("part").select(F.concat(F.substring(name, 2, 1), F.left(name, F.lit(1)), F.substr(name, F.lit(3))).alias("needle"))
+    return rd.suggest(asked, v.strains, 4, 0.7).select(
+        "needle", "place", "slug", "name", F.floor(F.col("ratio") * 1000000).alias("ppm"))
 
 
 @query
@@ -750,6 +754,15 @@ def stream_spend(v: Views) -> DataFrame:
     return lv.latest(v.spark.read.parquet(out), "window_start")
 
 
+@query
+def stream_tiers(v: Views) -> DataFrame:
+    """Tiers of all children as the tier stream leaves them; the twin derives them at once."""
+    path, out = v.path_of("obs"), _folder(v, "tiers")
+    stream = v.spark.readStream.schema(v.obs.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    ti.start(stream, v.alias_pairs, out, _folder(v, "tiers-log")).awaitTermination()
+    return ti.standing(v.spark.read.parquet(out))
+
+
 @query
 def stream_merge_equals_batch(v: Views) -> DataFrame:
     """Run documents merged by the stream; the twin computes the batch result.
@@ -768,10 +781,9 @@ def stream_merge_equals_batch(v: Views) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("event_id", claim.alias("c")))).alias("cs"),
         F.max("at").alias("completed_at")).select(
         F.concat(F.lit("run"), "n").alias("run_id"), F.lit("").alias("query"), "completed_at",
-        F.transform("cs", lambda c: c["c"]).alias("lineage_claims"))
+        F.transform("cs", lambda c: c["c"]).alias("lineage_claims"), (F.col("n") % 2).alias("part"))
     landing, root = _folder(v, "docs"), _folder(v, "kb")
-    docs.repartition(2).write.json(landing)
+    docs.write.partitionBy("part").json(landing)     # a file at least for each part, so there are several batches
     ig.merge_stream(v.spark, landing, root, _folder(v, "kb-log"), files_per_batch=1).awaitTermination()
-    edges = tb.read_table(v.spark, ig.latest_version(v.spark, root), "lineage_edges")
-    return edges.select("child_slug", "parent_slug", "source_count", "domain_count",
+    return ig.read(v.spark, root, "lineage_edges").select("child_slug", "parent_slug", "source_count", "domain_count",
                         _milli("avg_confidence").alias("milli"), "agreement")

@@ -106,3 +106,18 @@ left join (select coalesce(p.slug, n.parent_slug) as parent_slug, count(distinct
            where not (quarantined or still) group by 1) e on e.parent_slug = w.parent_slug""",
     now="select *, gate and parent_slug not in ('n3', 'n9') as still from gated",
     known="select alias, slug from amap union all values ('n3', 'n1'), ('n9', 'n7')")
+
+O["research_claims"] = """
+with p as (select p_partkey as n, p_partkey % 7 as s, 'https://r.example.com/' || p_partkey || '/' as u from part)
+select cast(n as varchar) as run_id, stage, 'Kid ' || n as child, a || n as parent_a, b || n as parent_b,
+       case when place >= 0 then u || place else 'https://en.wikipedia.org/wiki/Kid_' || n end as source_url, engine as source_engine
+from p join (values (0, 1, 'Alpha', 'Beta', 0, 'web'), (1, 0, 'Mona', 'Nora', 0, 'web'), (1, 1, 'Gamma', 'Delta', 1, 'web'),
+                    (2, 3, 'Foo', 'Bar', 9, 'web'), (3, 2, 'Ana', 'Bob', -1, 'wikipedia-full'), (4, 1, 'Alpha', 'Beta', 0, 'web'),
+                    (6, 1, 'Gamma', 'Delta', 1, 'web')) as c(shape, stage, a, b, place, engine) on c.shape = p.s"""
+
+O["research_sources"] = """
+select cast(n as varchar) as run_id, cast(case s when 3 then 3 when 5 then 1 else 2 end as bigint) as visited,
+       cast(case s when 5 then 1 else 2 end as bigint) as urls,
+       case when s = 0 then 'Kid ' || n || ' is a hybrid cultivar from the coast. It flowers early.' end as summary,
+       case when s = 0 then 'https://r.example.com/' || n || '/1' end as summary_source_url
+from (select p_partkey as n, p_partkey % 7 as s from part)"""

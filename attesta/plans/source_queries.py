@@ -6,6 +6,8 @@ and read back by the source operators.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from attesta import schemas as S
 from attesta.operators import aliases as al
 from attesta.operators import cache as ca
 from attesta.operators import curate as cu
+from attesta.operators import research as rs
 from attesta.operators import upserts as up
 from attesta.plans.evidence_views import Views
 from attesta.sources import payloads as pl
@@ -202,3 +205,62 @@ def alias_release(v: Views) -> DataFrame:
         F.count_if(F.col("quarantine_reason").isNotNull()).alias("gated"))
     edges = out["lineage_edges"].groupBy("parent_slug").agg(F.count(F.lit(1)).alias("edges"))
     return waiting.join(edges, "parent_slug", "left")
+
+
+# --- a research pass --------------------------------------------------------
+
+def _research(v: Views) -> dict[str, DataFrame]:
+    """A run per part, in seven shapes: each is settled by another stage of the pass, or by none."""
+    p, shape = F.col("p_partkey"), F.col("p_partkey") % 7
+    name = lambda n: F.concat(F.lit(n), p)
+    cross = lambda a, sign, b: F.concat(name(a), F.lit(sign), name(b))
+    kid, page = F.concat(F.lit("Kid "), p), lambda n: F.concat(F.lit("https://r.example.com/"), p, F.lit(f"/{n}"))
+
+    def hit(seq, url, snippet, title=None, source="web"):
+        said = F.lit(snippet) if isinstance(snippet, str) else snippet
+        return F.struct(F.lit(seq).alias("seq"), (F.lit("page") if title is None else title).alias("title"), url.alias("url"),
+                        said.alias("snippet"), F.lit(source).alias("source"))
+
+    hits = {
+        0: [hit(0, page(0), F.concat(kid, F.lit(" is "), cross("Alpha", " × ", "Beta"), F.lit(". A cannabis strain."))),
+            hit(1, page(1), F.concat(kid, F.lit(" is a hybrid cultivar from the coast. It flowers early.")), kid, "wikipedia")],
+        1: [hit(0, page(0), F.concat(F.lit("A strain. "), cross("Alpha", " × ", "Beta"))),
+            hit(1, page(1), F.concat(F.lit("thc. crossing "), cross("Gamma", " with ", "Delta")))],
+        2: [hit(0, page(0), F.concat(F.lit("genetics of wheat, a breed: "), cross("Alpha", " × ", "Beta")))],
+        3: [hit(0, F.concat(F.lit("https://en.wikipedia.org/wiki/Kid_"), p), "a strain", F.concat(kid, F.lit(" (cannabis)")), "wikipedia"),
+            hit(1, F.concat(F.lit("https://en.wikipedia.org/wiki/Film_"), p), "a film about a strain", F.lit("film"), "wikipedia")],
+        4: [hit(0, page(0), F.concat(F.lit("A strain. "), cross("Alpha", " × ", "Beta"))),
+            hit(1, page(0), F.concat(F.lit("A strain. "), cross("Gamma", " × ", "Delta"))),
+            hit(2, page(1), F.concat(F.lit("hemp. crossing "), cross("Alpha", " with ", "Beta")))],
+        5: [hit(0, page(0), "wheat and rye")],
+        6: [hit(0, page(0), F.concat(F.lit("a breed: "), cross("Alpha", " × ", "Beta"))),
+            hit(1, page(1), F.concat(F.lit("indica: "), cross("Gamma", " x ", "Delta")))],
+    }
+    run = p.cast("string").alias("run_id")
+    chosen = reduce(lambda c, n: c.when(shape == n, F.array(*hits[n])), list(hits)[1:], F.when(shape == 0, F.array(*hits[0])))
+    results = v.table("part").select(run, kid.alias("query"), (shape != 6).alias("is_subject"), F.explode(chosen).alias("h")) \
+        .select("run_id", "query", "is_subject", "h.*")
+    part = v.table("part")
+    line = F.concat(F.lit('{"lineage": [{"child": "", "parents": ["Mona'), p, F.lit('", "Nora'), p,
+                    F.lit('"], "source_index": 0, "confidence": 0.7}]}'))
+    responses = part.filter(shape == 1).select(run, kid.alias("query"), line.alias("response"))
+    articles = part.filter(shape == 3).select(kid.alias("title"), F.concat(F.lit("Text.\nhybrid = "), cross("Ana", " × ", "Bob")).alias("text")) \
+        .unionByName(part.filter(shape == 3).select(F.concat(F.lit("Film "), p).alias("title"), F.concat(cross("No", " × ", "One")).alias("text")))
+    second = F.when(shape == 2, F.concat(F.lit("A sativa, bred from "), cross("Foo", " and ", "Bar"))).otherwise("a plum")
+    corpus = part.select(F.concat(kid, F.lit(" parents lineage genetics cross")).alias("query"), F.lit(0).alias("rank"),
+                         F.lit("page").alias("title"), page(9).alias("url"), second.alias("snippet"), F.lit("web").alias("source"))
+    return rs.research(results, responses, articles, corpus)
+
+
+@query
+def research_claims(v: Views) -> DataFrame:
+    """Which stage found which claim of a run."""
+    return _research(v)["claims"].select("run_id", "stage", "child", "parent_a", "parent_b", "source_url", "source_engine")
+
+
+@query
+def research_sources(v: Views) -> DataFrame:
+    """Visited sources and the verbatim summary of each run."""
+    out = _research(v)
+    return (out["visited"].groupBy("run_id").agg(F.count(F.lit(1)).alias("visited"), F.count_distinct("url").alias("urls"))
+            .join(out["summaries"].select("run_id", "summary", "summary_source_url"), "run_id", "left"))

@@ -1,5 +1,7 @@
 """Run merging, the parent gate and curation folds."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from attesta import schemas as S
@@ -170,6 +172,44 @@ def test_alias_events(spark):
     assert sorted(r.seq for r in bad.collect()) == [2, 5, 6, 8]
 
 
+def test_alias_events_in_chunks(spark, monkeypatch):
+    """Moves composed over tiny chunks and many partitions are those of a walk; one alias has most events."""
+    monkeypatch.setattr(cu, "CHUNK_BITS", 2)
+    rng = random.Random(4)
+    strains = S.conform(spark.createDataFrame(
+        [("a", ["hot"]), ("b", ["nick"]), ("c", []), ("d", []), ("own", [])], "slug string, aliases array<string>")
+        .withColumn("name", F.col("slug")), S.STRAINS)
+    events = [(rng.choice(["a", "b", "c", "d", "zz", "nick"]), "hot" if rng.random() < .6 else rng.choice(["nick", "x", "own", "", "c"]),
+               rng.choice(["add", "add", "remove", "other"]), i) for i in range(400)]
+    want, owner = {}, {"hot": "a", "nick": "b"}
+    for slug, alias, op, seq in events:
+        slug = {"nick": "b"}.get(slug, slug)
+        error, now = None, owner.get(alias)
+        if slug == "zz":
+            error = "unknown entity"
+        elif alias != slug and op == "add":
+            if not alias:
+                error = "alias is required"
+            elif alias in ("own", "c"):
+                error = "already an entity slug"
+            elif now not in (None, slug):
+                error = "already an alias of another entity"
+            else:
+                now = slug
+        elif alias != slug and op == "remove" and now == slug:
+            now = None
+        owner[alias] = now
+        want[seq] = (alias, slug, now, error)
+    df = spark.createDataFrame(events, "slug string, alias string, op string, seq long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.seq: (r.alias, r.slug, r.owner, r.error) for r in cu.fold_alias_events(strains, df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+    assert cu.fold_alias_events(strains, df.limit(0)).count() == 0
+
+
 def test_reviews(spark):
     _, strains, _ = gate_world(spark)
     edges = spark.createDataFrame([("e", "p", "multi_source", 1, 2)], S.struct_of(

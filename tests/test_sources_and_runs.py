@@ -236,18 +236,6 @@ def test_frontier(spark):
     assert {r.name for r in gr.expand_frontier(links, subj, 2, 3).collect()} == {"s", "a", "b", "c"}
 
 
-def test_streams(spark, tmp_path):
-    strains = S.conform(spark.createDataFrame([("kid",)], "slug string").withColumn("name", F.col("slug")), S.STRAINS)
-    step = ig.tier_feed(str(tmp_path / "tiers"), strains)
-    obs = lambda url, parent="ma": S.conform(spark.createDataFrame(
-        [("kid", parent, url, 1, False)], "child_slug string, parent_slug string, source_url string, observed_at long, quarantined boolean"), S.OBSERVATIONS)
-    for i, (url, parent) in enumerate([("https://a.com", "ma"), ("https://a.com/2", "ma"), ("https://b.com", "ma"), ("https://c.com", "pa")]):
-        step(obs(url, parent), i)
-    step(obs("https://c.com", "pa"), 3)          # replayed batch
-    moves = {(r.batch, r.tier) for r in spark.read.parquet(str(tmp_path / "tiers" / "changes")).collect()}
-    assert moves == {(0, "ANECDOTAL"), (2, "COMMUNITY_CONSENSUS"), (3, "CONTRADICTED")}
-
-
 def test_pages_and_stats(spark):
     st = S.conform(spark.createDataFrame([(f"s{i}", f"S{i}", .1 * (i % 3), "b" if i == 1 else "") for i in range(6)],
                                          "slug string, name string, confidence double, breeder string"), S.STRAINS)
