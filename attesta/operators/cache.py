@@ -52,6 +52,11 @@ def store_payloads(blobs: DataFrame, fetched: DataFrame, ttl: int) -> DataFrame:
         .select("cache_key", "b.*", "hits").drop("__new").select(*blobs.columns))
 
 
+def purge(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """No blobs, and how many were ``purged``; outcomes of past requests are not touched."""
+    return blobs.limit(0), blobs.agg(F.count(F.lit(1)).alias("purged"))
+
+
 def with_request_keys(requests: DataFrame, strains: DataFrame) -> DataFrame:
     """``requests(provider, kind, query, extra, …)`` with ``identity`` and ``cache_key``.
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attesta import vocab as V
 from attesta.functions import text as tx
+from attesta.operators import aliases as al
 from attesta.session import materialize
 
 PARENT_OF = ("child_slug", "parent_slug")
@@ -187,6 +188,12 @@ def budgeted_claims(reached: DataFrame, claims: DataFrame, budget: int = V.CLAIM
     return mine.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= budget)
 
 
+def subjects(names: DataFrame, strains: DataFrame, column: str = "name") -> DataFrame:
+    """``(name, seed)`` of free-text names that are an entity's slug or alias; unknown names have no row."""
+    found = al.identify(names.select(F.col(column).alias("name")).distinct(), strains)
+    return found.filter("known").select("name", F.col("identity").alias("seed"))
+
+
 def neighborhood(edges: DataFrame, strains: DataFrame, claims: DataFrame, sources: DataFrame,
                  seeds: DataFrame, depth: int) -> dict[str, DataFrame]:
     """k-hop subgraph of every seed: ``nodes``, ``edges`` and ``stats``.
@@ -289,23 +296,25 @@ def evidence_edge(edges: DataFrame, labelled: DataFrame, mode: str = "intent") -
            .groupBy("seed", "node").agg(F.min("hop").alias("hop")))
     far_up = picked.filter("relation = 'ancestor'")
     far_down = picked.filter("relation = 'descendant'")
+    # Only nodes with children lie between others, so one closure of that inner graph answers both ways;
+    # what is above any other node is its parents and what is above them.
+    links = edges.select(F.col("child_slug").alias("node"), F.col("parent_slug").alias("hop")).distinct()
+    inner = links.join(links.select(F.col("hop").alias("node")).distinct(), "node", "left_semi")
+    closed = _doubled(inner.withColumnRenamed("hop", "ancestor")).select(
+        F.col("node").alias("hop"), F.col("ancestor").alias("upper"))
+
+    def above(nodes: DataFrame) -> DataFrame:
+        own = links.join(nodes.select("node").distinct(), "node", "left_semi")
+        return own.unionByName(own.join(closed, "hop").select("node", F.col("upper").alias("hop"))).distinct()
+
     if mode == "intent":
-        hops_up = far_up.join(up, "seed")
-        above = ancestors(edges, hops_up.select(F.col("hop").alias("seed")))
-        via_up = hops_up.join(above.select(F.col("node").alias("hop"), F.col("ancestor").alias("node")),
-                              ["hop", "node"], "left_semi")
-        hops_down = far_down.join(down, "seed")
-        below = descendants(edges, hops_down.select(F.col("hop").alias("seed")))
-        via_down = hops_down.join(
-            below.select(F.col("node").alias("hop"), F.col("descendant").alias("node")),
-            ["hop", "node"], "left_semi")
+        via_up = far_up.join(up, "seed").join(closed.withColumnRenamed("upper", "node"), ["hop", "node"], "left_semi")
+        via_down = far_down.join(above(far_down), "node").join(down, ["seed", "hop"], "left_semi")
     else:
-        above = ancestors(edges, far_up.select(F.col("node").alias("seed")))
-        via_up = far_up.join(up, "seed").join(
-            above.select("node", F.col("ancestor").alias("hop")), ["node", "hop"], "left_semi")
-        below = descendants(edges, far_down.select(F.col("node").alias("seed")))
-        via_down = far_down.join(down, "seed").join(
-            below.select("node", F.col("descendant").alias("hop")), ["node", "hop"], "left_semi")
+        via_up = far_up.join(above(far_up), "node").join(up, ["seed", "hop"], "left_semi")
+        beyond = down.join(above(down.select(F.col("hop").alias("node"))).select(
+            F.col("node").alias("hop"), F.col("hop").alias("node")), "hop")
+        via_down = far_down.join(beyond, ["seed", "node"])
     upward = (via_up.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
               .unionByName(sib))
     downward = via_down.groupBy("seed", "node").agg(F.min("hop").alias("hop"))

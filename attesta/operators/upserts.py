@@ -135,18 +135,18 @@ def upsert_runs(existing: DataFrame, new: DataFrame) -> DataFrame:
     return S.conform(folded, S.RUNS)
 
 
-def pending_lookups(visited: DataFrame, sources: DataFrame, limit: int = V.ARCHIVE_LOOKUPS) -> DataFrame:
-    """The first ``limit`` URLs of each run without a recorded capture."""
+def pending_lookups(visited: DataFrame, sources: DataFrame, limit: int | None = V.ARCHIVE_LOOKUPS) -> DataFrame:
+    """The first ``limit`` URLs of each run without a recorded capture (all with None)."""
     urls = (visited.withColumn("url", tx.strip(tx.text_of("url"))).filter("url <> ''")
             .groupBy("run_id", "url").agg(F.min("seq").alias("seq")))
     done = sources.filter(F.col("wayback_url").isNotNull()).select("url")
     order = W.partitionBy("run_id").orderBy("seq", "url")
     return (urls.join(done, "url", "left_anti").withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= max(1, limit)).select("run_id", "url", "rank"))
+            .filter(F.lit(True) if limit is None else F.col("rank") <= max(1, limit)).select("run_id", "url", "rank"))
 
 
 def record_lookups(visited: DataFrame, sources: DataFrame, availability: DataFrame, at: int,
-                   limit: int = V.ARCHIVE_LOOKUPS) -> DataFrame:
+                   limit: int | None = V.ARCHIVE_LOOKUPS) -> DataFrame:
     """Sources with the hits of every run's pending lookups stamped."""
     asked = pending_lookups(visited, sources, limit).select("url").distinct()
     hits = asked.join(availability.filter("archived"), "url").withColumn("at", F.lit(at).cast("bigint"))

@@ -125,24 +125,45 @@ def _hops(depth: int) -> dict[str, str]:
     return ctes
 
 
-def _khop(depth: int) -> str:
-    ctes = _hops(depth)
-    ctes["above"] = """select parent as node from edges, subject where child = seed
-                       union select e.parent from above a join edges e on e.child = a.node"""
-    ctes["par"] = "select parent as node from edges where child = (select seed from subject)"
-    return wv("subject edges", f"""
+_ABOVE = {
+    "above": """select parent as node from edges, subject where child = seed
+                union select e.parent from above a join edges e on e.child = a.node""",
+    "par": "select parent as node from edges where child = (select seed from subject)",
+}
+
+
+def _labelled(depth: int) -> str:
+    return f"""
 select node, cast(hop as bigint) as hop,
   case when hop = 0 then 'subject' when node in (select node from par) then 'parent'
        when node in (select child from edges where parent = (select seed from subject)) then 'child'
        when node in (select child from edges where parent in (select node from par)) then 'sibling'
        when hop < {depth} and node in (select node from above) then 'ancestor'
        when hop < {depth} then 'descendant' else 'related' end as relation
-from reached""", **ctes)
+from reached"""
+
+
+def _khop(depth: int) -> str:
+    return wv("subject edges", _labelled(depth), **_hops(depth), **_ABOVE)
 
 
 for _d in range(4):
     O[f"khop_neighborhood_d{_d}"] = _khop(_d)
 
+# Towards an ancestor the first parent, in name order, that is below it; likewise towards a descendant.
+O["evidence_edges"] = wv("subject edges", """
+select node, relation,
+  case when relation in ('parent', 'sibling', 'ancestor') then case when far_up is not null or relation <> 'ancestor' then seed end
+       when relation = 'child' then node when relation = 'descendant' then far_down end as child_slug,
+  case relation when 'parent' then node when 'child' then seed when 'sibling' then shared when 'ancestor' then far_up
+       when 'descendant' then case when far_down is not null then seed end end as parent_slug
+from (select k.node, k.relation, seed,
+             (select min(a.parent) from edges a join edges b on a.parent = b.parent where a.child = seed and b.child = k.node) as shared,
+             (select min(a.parent) from edges a join up on up.node = a.parent where a.child = seed and up.above = k.node) as far_up,
+             (select min(d.child) from edges d join up on up.above = d.child where d.parent = seed and up.node = k.node) as far_down
+      from k, subject)""", **_hops(2), **_ABOVE, k=_labelled(2),
+    up="select child as node, parent as above from edges union select u.node, e.parent from up u join edges e on e.child = u.above")
+
 _NODE_PARTS = {
     **_hops(1),
     "par": "select parent as node from edges where child = (select seed from subject)",
@@ -270,8 +291,24 @@ from log where k <> 0 group by 1""")
 O["pending_archive_lookups"] = """
 select 'r' || (page_id % 20) as run_id, url,
        row_number() over (partition by page_id % 20 order by page_id) as rank
-from pages where page_id % 5 <> 0
-qualify rank <= 10"""
+from pages where page_id % 5 <> 0"""
+
+O["catalog_page_deep"] = wv("strains tiers", """
+select slug, name, milli, total from (
+  select *, count(*) over () as total, row_number() over (order by milli desc, name, slug) - 1 as place from tiered)
+where place >= total // 2 and place < total // 2 + 50""", tiered=_TIERED)
+
+O["named_subjects"] = wv("amap edges", """
+select n.name, m.slug as seed, e.neighbours from named n join amap m on m.alias = regexp_replace(lower(trim(n.name)), '\\s+', '-', 'g')
+left join (select a, count(distinct b) as neighbours from und group by 1) e on e.a = m.slug""", named="""
+select ' N' || p_partkey as name from part union all select n_name from nation""", und=_UNDIRECTED)
+
+O["cache_purge"] = wv("log", """
+select cast(0 as bigint) as hits, (select count(*) from log) as misses, cast(0 as bigint) as entries,
+       count(distinct user_id || ':' || event_type) as purged from log where event_type <> 'signup'""")
+
+O["ledger_round_trip"] = wv("rclaims", """
+select run_id, cast(1 as bigint) as summaries, count(*) as claims, count(*) as stated from rclaims group by 1""")
 
 # --- readers ----------------------------------------------------------------
 

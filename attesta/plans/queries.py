@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta import schemas as S
 from attesta import vocab as V
 from attesta.functions import language as lang
 from attesta.functions import numbers as num
@@ -206,6 +207,23 @@ def neighborhood_stats(v: Views) -> DataFrame:
                                      "claim_nodes", "sources_consulted")
 
 
+@query
+def evidence_edges(v: Views) -> DataFrame:
+    """The edge whose observations explain each node of the subject's neighbourhood."""
+    labelled = gr.relations(v.edges, gr.reachable(v.edges, v.subject, 2), 2)
+    return gr.evidence_edge(v.edges, labelled).select("node", "relation", "child_slug", "parent_slug")
+
+
+@query
+def named_subjects(v: Views) -> DataFrame:
+    """Direct neighbours of entities named by slug, by alias, or not at all."""
+    names = v.table("part").select(F.concat(F.lit(" N"), "p_partkey").alias("name"))
+    seeds = gr.subjects(names.unionByName(v.table("nation").select(F.col("n_name").alias("name"))), v.strains)
+    near = gr.reachable(v.edges, seeds.select("seed").distinct(), 1).filter("hop = 1").groupBy("seed").agg(
+        F.count(F.lit(1)).alias("neighbours"))
+    return seeds.join(near, "seed", "left").select("name", "seed", "neighbours")
+
+
 @query
 def ancestor_closure(v: Views) -> DataFrame:
     return gr.ancestors(v.edges)
@@ -326,7 +344,7 @@ def upsert_sources(v: Views) -> DataFrame:
 def pending_archive_lookups(v: Views) -> DataFrame:
     visited = v.table("pages").select(
         F.concat(F.lit("r"), F.col("page_id") % 20).alias("run_id"), "url", F.col("page_id").alias("seq"))
-    return up.pending_lookups(visited, v.sources).select("run_id", "url", F.col("rank").cast("bigint").alias("rank"))
+    return up.pending_lookups(visited, v.sources, limit=None).select("run_id", "url", F.col("rank").cast("bigint").alias("rank"))
 
 
 # --- readers ----------------------------------------------------------------
@@ -346,6 +364,17 @@ def catalog_page(v: Views) -> DataFrame:
                        F.element_at("props", "breeder").alias("breeder"), "total")
 
 
+_CATALOG = [("milli", True), ("name", False), ("slug", False)]
+
+
+@query
+def catalog_page_deep(v: Views) -> DataFrame:
+    """The 50 entities in the middle of the catalog, from the one range that holds them."""
+    strains = ev.apply_tiers(v.strains, ev.child_tiers(v.edges, v.canon)).select("slug", "name", _milli("confidence").alias("milli"))
+    indexed = rd.index_pages(strains, _CATALOG, 40)
+    return rd.page_at(indexed, _CATALOG, 50, v.strains.count() // 2)
+
+
 @query
 def source_page(v: Views) -> DataFrame:
     return rd.source_page(v.sources, 50, 10).select("url", "title", "fetched_at", "wayback_url", "total")
@@ -491,6 +520,15 @@ def cache_stats(v: Views) -> DataFrame:
     return stats.select("hits", "misses", (F.col("hit_rate") * 10000).cast("bigint").alias("hit_rate_bp"), "entries")
 
 
+@query
+def cache_purge(v: Views) -> DataFrame:
+    """After a purge no blob is left and everything misses; the count says what went."""
+    req, blobs = _requests(v)
+    left, purged = ca.purge(blobs)
+    stats = ca.cache_stats(ca.classify_requests(req, left, 7 * 86400), left)
+    return stats.crossJoin(purged).select("hits", "misses", "entries", "purged")
+
+
 @query
 def cache_run_usage(v: Views) -> DataFrame:
     return ca.run_usage(ca.classify_requests(*_requests(v), ttl=7 * 86400))
@@ -659,6 +697,23 @@ def ledger_by_entity(v: Views) -> DataFrame:
         "run_id", F.col("claim.child").alias("child"), F.col("claim.parent_a").alias("parent_a"), "ingested_at")
 
 
+@query
+def ledger_round_trip(v: Views) -> DataFrame:
+    """Runs appended in two parts, the second time with all runs: each is in the ledger once."""
+    claims = cl.stamp_tiers(v.run_claims)
+    runs = v.run_claims.groupBy("run_id", "query").agg(F.min("seq").alias("started_at"), F.max("seq").alias("completed_at")).withColumns({
+        "providers_used": F.array(F.lit("w")), "error": F.lit(None).cast("string"),
+        "llm_usage": F.lit(None).cast(f"struct<{S.USAGE}>"), "cache_usage": F.lit(None).cast(f"struct<{S.CACHE_USAGE}>")})
+    visited = v.run_claims.select("run_id", F.col("source_url").alias("url"), F.col("source_engine").alias("engine"))
+    path = _folder(v, "ledger")
+    for part in (runs.filter(F.col("run_id").endswith("1")), runs):
+        lg.append(v.spark, path, part, visited, claims)
+    rows = lg.read_ledger(v.spark, path)
+    return rows.groupBy("run_id").agg(
+        F.count_if(F.col("kind") == "research_run").alias("summaries"), F.count_if(F.col("kind") == "lineage_claim").alias("claims"),
+        F.max("lineage_claims_count").cast("bigint").alias("stated"))
+
+
 # --- curation ---------------------------------------------------------------
 
 @query

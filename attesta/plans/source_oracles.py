@@ -53,8 +53,8 @@ select s.url, coalesce(a.wayback_url, s.wayback_url) as wayback_url,
        case when a.wayback_url is not null then a.archived_at else s.archived_at end as archived_at, s.fetched_at
 from src s left join (
   select v.url, v.wayback_url, v.archived_at from (
-    select *, row_number() over (partition by page_id % 20 order by page_id) as r from av where page_id % 5 <> 0) v
-  where r <= 10 and archived) a on a.url = s.url""", av=_AVAILABLE)
+    select * from av where page_id % 5 <> 0) v
+  where archived) a on a.url = s.url""", av=_AVAILABLE)
 
 O["captures_recorded"] = wv("src", """
 select s.url, s.title, s.fetched_at,

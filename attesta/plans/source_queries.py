@@ -117,7 +117,7 @@ def archive_availability_rows(v: Views) -> DataFrame:
 def archive_hits_recorded(v: Views) -> DataFrame:
     """The pending lookups of every run are answered and stamped on the sources."""
     visited = v.table("pages").select(F.concat(F.lit("r"), F.col("page_id") % 20).alias("run_id"), "url", F.col("page_id").alias("seq"))
-    return up.record_lookups(visited, v.sources, _availability(v), 1700009999).select("url", "wayback_url", "archived_at", "fetched_at")
+    return up.record_lookups(visited, v.sources, _availability(v), 1700009999, limit=None).select("url", "wayback_url", "archived_at", "fetched_at")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """All ledger rows; a ledger that does not exist yet is empty."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], S.struct_of(S.LEDGER_ROW))
-    return parse_lines(spark.read.text(path))
+    return parse_lines(spark.read.option("recursiveFileLookup", True).text(path))
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +69,32 @@ def ledger_lines(runs: DataFrame, visited: DataFrame, claims: DataFrame) -> Data
     return head.unionByName(body)
 
 
+#: Folders that runs are dealt into.
+RUN_BUCKETS = 64
+
+
+def _written(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
+    """Ledger rows of some buckets, and of files that lie in none (older ledgers)."""
+    rows = spark.createDataFrame([], S.struct_of(S.LEDGER_ROW))
+    for part in [f"{path}/part-*", *[f"{path}/bucket={b}" for b in buckets]]:
+        try:
+            rows = rows.unionByName(parse_lines(spark.read.text(part)))
+        except AnalysisException:  # nothing there yet
+            pass
+    return rows
+
+
 def append(spark: SparkSession, path: str, runs: DataFrame, visited: DataFrame, claims: DataFrame) -> None:
-    """Append runs that the ledger does not hold yet; a replay adds nothing."""
-    done = read_ledger(spark, path).filter("kind = 'research_run'").select("run_id").distinct()
+    """Append runs that the ledger does not hold yet; a replay adds nothing.
+
+    A run lies in the bucket of its id, so only the new runs' buckets are read.
+    """
+    path, bucket = path.rstrip("/"), F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int")
+    touched = [r["b"] for r in runs.select(bucket.alias("b")).distinct().collect()]  # RUN_BUCKETS numbers at most
+    done = _written(spark, path, touched).filter("kind = 'research_run'").select("run_id").distinct()
     fresh = runs.join(done, "run_id", "left_anti")
     lines = ledger_lines(fresh, visited.join(fresh.select("run_id"), "run_id", "left_semi"),
                          claims.join(fresh.select("run_id"), "run_id", "left_semi"))
     # A run lies in one file, its summary before its claims.
-    lines.repartition("run_id").sortWithinPartitions("run_id", "seq").select("value").write.mode("append").text(path)
+    lines = lines.withColumn("bucket", bucket).repartition("run_id").sortWithinPartitions("bucket", "run_id", "seq")
+    lines.select("bucket", "value").write.mode("append").partitionBy("bucket").text(path)
