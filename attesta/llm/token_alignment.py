@@ -5,10 +5,11 @@ dictionaries from end to index are intersected as hash sets; the sorted common k
 lists into groups, and the tokens of a slice that end at its key are its links.
 
 Prose repeats words, so the slices of a *unit* (blanks and what follows them, up to the next blank
-after it) are found once and kept in a bounded memo.  This is exact: tokenizer A never puts a blank
+after it) are found once and kept in a bounded memo; the units of a text that are not in it are
+encoded in one string.  This is exact: tokenizer A never puts a blank
 behind another character into one piece, and no piece of B has a blank behind another character (if
 one does, units are not used), so neither tokenizer looks across a unit's end and every such end is
-common to both.  A text in which any unit's bytes differ is encoded as a whole.
+common to both.  A text in which any bytes differ is encoded as a whole.
 
 Links are counted corpus-wide by id pair.  The counted pairs are broadcast while they are fewer
 than ``BROADCAST_PAIRS``, else joined; the result is the same (tested).
@@ -25,11 +26,12 @@ import base64
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
-from typing import NamedTuple
+from itertools import accumulate, chain
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,8 +40,10 @@ from attesta.llm.common import materialize, text_of
 RESULT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 #: Pairs of ids (8 bytes each, with a count) that may be broadcast.
 BROADCAST_PAIRS = 1_000_000
-#: Units kept at once by a worker, and characters of the longest.
-MEMO, UNIT = 200_000, 64
+#: Units of the newer of two generations that a worker keeps, and characters of the longest.
+MEMO, UNIT = 120_000, 64
+#: Rows whose links a worker holds at once.
+ROWS = 128
 #: A unit ends before a blank that follows something else.
 UNITS = re.compile(r"(?<=\S)(?= )")
 BLANK_BEFORE_BLANK = re.compile(r"\s ")
@@ -48,12 +52,16 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 SHIFT = 32
 
 
-class Slices(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    said: str           # the groups as text
-    links: list[int]    # id pairs
+NOTHING = (0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+
+def ends_blank(unit: str) -> bool:
+    """Only the last unit of a text can."""
+    return not unit or unit[-1].isspace()
+
+
+#: What a part of a text has: A tokens, B tokens, groups, the groups as text, id pairs of the links.
+Slices = tuple[int, int, int, str, list[int]]
 
 
 class Pair:
@@ -71,29 +79,59 @@ class Pair:
         names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
         self.encode_a = fast.encode_ordinary
         self.encode_b = lambda text: pieces.encode(text, num_threads=1)
-        self.bytes_a = {i: token for token, i in ranks.items()}
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(n)) and pieces.is_byte(i)
                         else n.replace("▁", " ").encode() for i, n in enumerate(names)]
+        self.sizes_a, self.sizes_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.bare = not all(self.sizes_b) or not all(ranks)
         self.split = not any(re.search("[^▁]▁", n) for n in names)
-        self.memo: dict[str, Slices | None] = {}
+        self.names = [str(i) for i in range(max(len(names), len(self.bytes_a)))]
+        self.memo: dict[str, Slices] = {}
+        self.older: dict[str, Slices] = {}
 
-    def slices(self, spaced: str) -> Slices | None:
-        """Groups and links of a text with a leading blank; None if the tokens do not spell it."""
+    def slices(self, spaced: str, stops: list[int]) -> list[Slices] | None:
+        """Groups and links of a text with a leading blank, part by part.
+
+        ``stops`` are the bytes at which its parts end, the text's end last.
+        None if the tokens do not spell the text or no common end is at a stop.
+        """
         a, b = self.encode_a(spaced), self.encode_b(spaced[1:])
-        spelt_a, spelt_b, want = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], spaced.encode()
-        if b"".join(spelt_a) != want or b"".join(spelt_b) != want:
+        want = spaced.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
             return None
-        ends_a, ends_b = list(accumulate(map(len, spelt_a))), list(accumulate(map(len, spelt_b)))
+        ends_a = list(accumulate(map(self.sizes_a.__getitem__, a)))
+        ends_b = list(accumulate(map(self.sizes_b.__getitem__, b)))
         at_a, at_b = dict(zip(ends_a, range(len(a)))), dict(zip(ends_b, range(len(b))))
-        groups, links, i, j = [], [], 0, 0
-        for end in sorted(at_a.keys() & at_b.keys()):
-            to_i, to_j = at_a[end] + 1, at_b[end] + 1
-            groups.append(",".join(map(str, a[i:to_i])) + "|" + ",".join(map(str, b[j:to_j])))
-            # An id without bytes ends where the one before it ends.
-            links += [x << SHIFT | y for x, e in zip(a[i:to_i], ends_a[i:to_i]) if e == end
-                      for y, f in zip(b[j:to_j], ends_b[j:to_j]) if f == end]
-            i, j = to_i, to_j
-        return Slices(len(a), len(b), len(groups), ";".join(groups), links)
+        common = at_a.keys() & at_b.keys()
+        if not common.issuperset(stops):
+            return None
+        keys = sorted(common)
+        last_a, last_b = [at_a[e] for e in keys], [at_b[e] for e in keys]
+        first_a, first_b = [0, *[i + 1 for i in last_a]], [0, *[j + 1 for j in last_b]]
+        groups = list(map("|".join, zip(self.said(a, first_a, last_a), self.said(b, first_b, last_b))))
+        if self.bare:  # an id without bytes ends where the one before it ends
+            links = [[x << SHIFT | y for x, e in zip(a[i:k + 1], ends_a[i:k + 1]) if e == end
+                      for y, f in zip(b[j:m + 1], ends_b[j:m + 1]) if f == end]
+                     for end, i, k, j, m in zip(keys, first_a, last_a, first_b, last_b)]
+        else:
+            links = [a[i] << SHIFT | b[j] for i, j in zip(last_a, last_b)]
+        parts, low = [], 0
+        for high in np.searchsorted(keys, stops, side="right").tolist():
+            own = links[low:high]
+            parts.append((first_a[high] - first_a[low], first_b[high] - first_b[low], high - low,
+                          ";".join(groups[low:high]), list(chain.from_iterable(own)) if self.bare else own))
+            low = high
+        return parts
+
+    def said(self, ids: list[int], first: list[int], last: list[int]) -> list[str]:
+        names = [self.names[i] for i in ids]
+        return [names[i] if i == k else ",".join(names[i:k + 1]) for i, k in zip(first, last)]
+
+    def whole(self, text: str) -> Slices | None:
+        parts = self.slices(" " + text, [len(text.encode()) + 1])
+        return parts and parts[0]
 
     def units(self, text: str) -> list[str]:
         """The units of a text, each without its first blank."""
@@ -103,37 +141,53 @@ class Pair:
             return [u[1:] for u in UNITS.split(" " + text)]
         return text.split(" ")
 
-    def unit(self, unit: str) -> Slices | None:
-        if len(unit) > UNIT:
-            return self.slices(" " + unit)
-        if unit not in self.memo:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[unit] = self.slices(" " + unit)
-        return self.memo[unit]
-
-    def align(self, text: str) -> tuple[int, int, int, str, Counter] | None:
-        """(A tokens, B tokens, groups, digest of the groups, links by pair); None without tokens."""
+    def parts_of(self, units: Iterable[str]) -> dict[str, Slices] | None:
+        """The slices of each unit; those not in the memo are encoded in one go."""
+        found, new, memo, older = {}, [], self.memo, self.older
+        for u in units:
+            part = memo.get(u)
+            if part is None:
+                part = older.get(u)
+                if part is None:
+                    new.append(u)
+                    continue
+                memo[u] = part
+            found[u] = part
+        if new:
+            new.sort(key=ends_blank)
+            stops = list(accumulate([len(u.encode()) + 1 for u in new]))
+            made = self.slices("".join([" " + u for u in new]), stops)
+            if made is None:
+                return None
+            for u, part in zip(new, made):
+                found[u] = part
+                if len(u) <= UNIT:
+                    memo[u] = part
+        if len(memo) > MEMO:
+            self.memo, self.older = {}, memo
+        return found
+
+    def align(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray] | None:
+        """(A tokens, B tokens, groups, digest of the groups, id pairs, links of each); None without tokens."""
         if not text or "▁" in text:
             return None
         units = self.units(text)
         found = Counter(units)
-        parts = {u: self.unit(u) for u in found}
-        if None in parts.values():
-            units, found, parts = [text], Counter([text]), {text: self.slices(" " + text)}
+        parts = self.parts_of(found)
+        if parts is None:
+            units, found, parts = [text], Counter([text]), {text: self.whole(text)}
             if parts[text] is None:
                 return None
-        links, n_a, n_b, n_groups = Counter(), 0, 0, 0
-        for u, times in found.items():
-            p = parts[u]
-            n_a, n_b, n_groups = n_a + times * p.n_a, n_b + times * p.n_b, n_groups + times * p.n_groups
-            for pair in p.links:
-                links[pair] += times
+        often = list(found.values())
+        n_a, n_b, n_groups, _, links = zip(*[parts[u] for u in found])
+        total = lambda each: sum(map(mul, often, each))
+        times = np.repeat(np.array(often, dtype=np.float64), [len(x) for x in links])
+        pairs, place = np.unique(np.fromiter(chain.from_iterable(links), np.int64, len(times)), return_inverse=True)
         digest = hashlib.sha256()
         for at in range(0, len(units), 4096):
-            said = ";".join([parts[u].said for u in units[at:at + 4096]])
+            said = ";".join([parts[u][3] for u in units[at:at + 4096]])
             digest.update((";" + said if at else said).encode())
-        return n_a, n_b, n_groups, digest.hexdigest(), links
+        return total(n_a), total(n_b), total(n_groups), digest.hexdigest(), pairs, np.bincount(place, times).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -150,16 +204,18 @@ def default_models() -> tuple[str, str]:
 def _align(model_a: str, model_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair_of(model_a, model_b)
-        for b in batches:
-            at = b.schema.get_field_index("_text")
-            found = [both.align(t.as_py()) or (0, 0, 0, "", Counter()) for t in b.column(at)]
-            made = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
-            made += [pa.array([f[3] for f in found], pa.string()),
-                     pa.array([list(f[4]) for f in found], pa.list_(pa.int64())),
-                     pa.array([list(f[4].values()) for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(i) for i in range(b.num_columns) if i != at], *made],
-                [*[n for n in b.schema.names if n != "_text"], "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                b = whole.slice(low, ROWS)
+                at = b.schema.get_field_index("_text")
+                found = [both.align(t.as_py()) or NOTHING for t in b.column(at)]
+                made = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+                made += [pa.array([f[3] for f in found], pa.string()),
+                         pa.array([f[4] for f in found], pa.list_(pa.int64())),
+                         pa.array([f[5] for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(i) for i in range(b.num_columns) if i != at], *made],
+                    [*[n for n in b.schema.names if n != "_text"], "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
     return run
 
 

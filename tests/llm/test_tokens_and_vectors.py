@@ -141,12 +141,21 @@ def test_special_strings_are_plain_text_in_an_alignment(spark):
 
 def test_memo_and_units_do_not_change_an_alignment(monkeypatch):
     both = token_alignment.Pair(*token_alignment.default_models())
+
+    def found(text):
+        made = both.align(text)
+        links = Counter()
+        for pair, n in zip(*(made or ([], []))[-2:]):
+            links[pair] += int(n)
+        return made and (*made[:4], links)
+
     monkeypatch.setattr(token_alignment, "MEMO", 3)
-    for t in [prose(4, 300), "a  b\n c \n\nd   ", " x", "x ", "tab\t y　 z", *filter(None, odd_texts())]:
-        by_unit = both.align(t)
-        both.split = False
-        assert both.align(t) == by_unit
+    for t in [prose(4, 300), "a  b\n c \n\nd   ", " x", "x ", "tab\t y\u3000 z", "\x1c a\x1c b", *filter(None, odd_texts())]:
         both.split = True
+        by_unit = found(t)
+        assert found(t) == by_unit
+        both.split = False
+        assert found(t) == by_unit
 
 
 def vectors(spark, rows):
