@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import materialize, row_keys, text_of
+from attesta.llm.common import LONG, LONGS, TEXT, beside, materialize, row_keys, text_of
 
 #: Chunk lengths in bytes.
 LEAST, MEAN_BITS, MOST = 512, 11, 8192
@@ -107,8 +107,7 @@ def _chunk_rows(bits: int):
 def recipes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 64) -> DataFrame:
     """One row per document: keys, doc_id, n_points, text_sha256, recipe (written, without the text)."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("_text"), *row_keys(text_of(text)))
-    schema = "doc_id long, _k1 long, _k2 long, n_points long, text_sha256 string, recipe array<bigint>"
-    out = slim.mapInPandas(_recipes(bits), schema)
+    out = beside(slim, _recipes(bits), {"n_points": LONG, "text_sha256": TEXT, "recipe": LONGS})
     return materialize(out.withColumn("_tag", F.monotonically_increasing_id()), "recipes")
 
 

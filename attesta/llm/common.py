@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attesta.session import materialize
@@ -72,6 +74,28 @@ def chunked(df: DataFrame, group: Sequence[str], order: Sequence[str], chunk: Co
     return joined.select(*keep, *[(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])
 
 
+def beside(df: DataFrame, run: Callable, made: dict[str, tuple[str, pa.DataType]], text: str = "_text") -> DataFrame:
+    """``df`` without its text, and with what ``run`` makes of batches of texts.
+
+    ``made`` names the new columns with their SQL and Arrow types.  All other
+    columns stay in Arrow, so that a long next to a null is never made a float.
+    """
+    rest = [c for c in df.columns if c != text]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pd.DataFrame({text: b.column(b.schema.get_field_index(text)).to_pandas()})
+            out = next(iter(run(iter([texts]))))
+            new = [pa.array(out[name].tolist(), kind) for name, (_, kind) in made.items()]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in rest], *new], [*rest, *made])
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest] + [f"{c} {sql}" for c, (sql, _) in made.items()]
+    return df.mapInArrow(go, ", ".join(kinds))
+
+
+LONG, LONGS, TEXT = ("long", pa.int64()), ("array<long>", pa.list_(pa.int64())), ("string", pa.string())
+
+
 def packed(docs: DataFrame, *used: str) -> DataFrame:
     """The used columns, and all others in one column ``_doc``, safe from clashing names."""
     others = [F.col(c) for c in docs.columns if c not in used] or [F.lit(None).cast("int").alias("none")]

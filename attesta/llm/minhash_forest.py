@@ -25,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import materialize, row_keys, text_of
+from attesta.llm.common import LONG, LONGS, beside, materialize, row_keys, text_of
 from attesta.llm.components import components
 
 SHINGLE = 5
@@ -288,9 +289,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", target: fl
     r1, r2 = row_keys(F.col(doc_id), t)
     slim = docs.select(F.col(doc_id).alias("doc_id"), *row_keys(t), r1.alias("_r1"), r2.alias("_r2"),
                        F.octet_length(t).cast("long").alias("octets"), t.alias("_text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    made = slim.mapInPandas(_sketch(depth), f"doc_id {kind}, _k1 long, _k2 long, _r1 long, _r2 long, octets long, "
-                            "_d1 long, _d2 long, keys array<long>, sketch binary")
+    made = beside(slim, _sketch(depth), {"_d1": LONG, "_d2": LONG, "keys": LONGS, "sketch": ("binary", pa.binary())})
     made = materialize(made.withColumn("_tag", F.monotonically_increasing_id()), "sketches")
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_tag")
     reps = materialize(made.groupBy("_d1", "_d2").agg(

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import chunked, materialize, row_keys, text_of
+from attesta.llm.common import LONG, LONGS, beside, chunked, materialize, row_keys, text_of
 
 CAPACITY = 2048
 END_ID = 1
@@ -195,8 +195,7 @@ def pack(docs: DataFrame, text: str = "text", model: str | None = None, capacity
     keep = tuple(c for c in keep if c not in PIECE)
     t = text_of(text)
     slim = docs.select(*keep, *row_keys(t), t.alias("_text"))
-    kept = "".join(f"`{c}` {slim.schema[c].dataType.simpleString()}, " for c in keep)
-    sized = slim.mapInPandas(_measure(model, capacity), f"{kept}_k1 long, _k2 long, doc_tokens long, crcs array<long>")
+    sized = beside(slim, _measure(model, capacity), {"doc_tokens": LONG, "crcs": LONGS})
     sized = sized.withColumns({"_tag": F.monotonically_increasing_id(), "_rest": F.col("doc_tokens") % capacity,
                                "_full": F.floor(F.col("doc_tokens") / capacity), "_one": F.lit(1).cast("long")})
     sized = materialize(sized, "tokens")

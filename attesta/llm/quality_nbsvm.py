@@ -23,9 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import text_of
+from attesta.llm.common import beside, text_of
 from attesta.llm.labelled import fold, logistic, sample
 
 #: Labelled rows that the model may be fitted on.
@@ -151,5 +152,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     """doc_id, held_out, score, predicted."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id), 4) == 2).alias("held_out"),
                        text_of(text).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(_score(model), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return beside(slim, _score(model), {"score": ("double", pa.float64()), "predicted": ("int", pa.int32())}, text="text")

@@ -109,12 +109,17 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, text: str = "text", doc_
     """Documents with size, shard and slot; equal texts lie side by side."""
     t = text_of(text)
     keep = docs.columns if keep is None else keep
-    made = docs.select(*[c for c in keep if c not in ("size", "text_crc32", "shard", "slot", "_hash")],
+    names = [c for c in keep if c not in ("size", "text_crc32", "shard", "slot")]
+    own = [F.col(f"`{c}`") for c in names] or [F.lit(None).cast("int").alias("none")]
+    given = F.col(f"`{doc_id}`")
+    whole = docs.schema[doc_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = given.cast("long") if whole else F.when(given.isNotNull(), F.xxhash64(given))
+    # The columns travel in one struct, so that no name of theirs meets one made here.
+    made = docs.select(F.struct(*own).alias("doc"), number.alias("doc_id"),
                        (F.octet_length(t) + 1).cast("long").alias("size"),
-                       F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("__hash"))
-    out = assign(made.withColumnRenamed("__hash", "hash_of_text"), F.col("size"), F.col("hash_of_text"),
-                 F.col(doc_id), n_shards)
-    return out.drop("hash_of_text")
+                       F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("hash_of_text"))
+    out = assign(made, F.col("size"), F.col("hash_of_text"), F.col("doc_id"), n_shards)
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in names], "size", "text_crc32", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from attesta.llm.labelled import fold, logistic, sample
-from attesta.llm.common import text_of
+from attesta.llm.common import TEXT, beside, text_of
 
 #: Labelled rows that the model may be fitted on.
 MAX_ROWS = 20_000
@@ -195,5 +196,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     """doc_id, held_out, score, predicted, and the significant passages as token spans."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (fold(F.col(doc_id), 5) == 0).alias("held_out"),
                        text_of(text).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInPandas(_score(model), f"doc_id {kind}, held_out boolean, score double, predicted int, passages string")
+    return beside(slim, _score(model), {"score": ("double", pa.float64()), "predicted": ("int", pa.int32()),
+                                        "passages": TEXT}, text="text")
