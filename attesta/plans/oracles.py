@@ -389,6 +389,29 @@ select child_slug, count(*) as domains from (
          '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') from claims where source_url like 'http%')
 group by 1""")
 
+O["dossiers"] = wv("strains edges dom claims src", f"""
+select s.slug, coalesce(g.accounts, 0) as accounts, coalesce(g.accounts, 0) >= 2 as conflicting, cast(0 as bigint) as malformed,
+       coalesce(e.green, 0) as green, coalesce(e.amber, 0) as amber, coalesce(e.red, 0) as red, coalesce(d.domains, 0) as domains,
+       coalesce(u.sources, 0) as sources, greatest(coalesce(g.accounts, 0) - 3, 0) as hidden, g.cards
+from strains s
+left join (select child_slug, count(*) as accounts, string_agg(card, ' / ' order by place) filter (where place <= 3) as cards
+           from carded group by 1) g on g.child_slug = s.slug
+left join ({O["edge_color_counts"].rsplit(chr(10) + "select child as", 1)[1].join(["select child as", ""])}) e on e.child_slug = s.slug
+left join (select child_slug, count(*) as domains from (
+  select child as child_slug, domain from dom where domain is not null union
+  select child_slug, regexp_replace(lower(regexp_extract(source_url,
+         '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\\.', '') from claims where source_url like 'http%') group by 1) d
+  on d.child_slug = s.slug
+left join (select child_slug, count(distinct nullif(source_url, '')) as sources from claims group by 1) u on u.child_slug = s.slug""",
+    acc=_ACCOUNTS, grouped=f"""
+select child_slug, {_ACCOUNT_KEY} as account, count(distinct nullif(acc.source_url, '')) as n,
+       upper(any_value(array_to_string(parents, ' × '))) as said, arg_min(trust_tier, (-length(excerpt), -milli, claim_key)) as tier,
+       arg_min(wayback_url, claim_key) filter (where wayback_url is not null) as wayback_url
+from acc left join src on src.url = acc.source_url group by 1, 2""", carded="""
+select g.child_slug, row_number() over (partition by g.child_slug order by n desc, s.name || ' = ' || said, account) as place,
+       concat_ws('|', s.name || ' = ' || said, n, tier, wayback_url) as card
+from grouped g join strains s on s.slug = g.child_slug""")
+
 O["source_trail"] = wv("members claims", """
 select child_slug, coalesce(claims, 0) as claims, coalesce(edges, 0) as edges, coalesce(urls, 0) as urls
 from (select child as child_slug, count(distinct parent) as edges,

@@ -444,6 +444,16 @@ def dossier_domains(v: Views) -> DataFrame:
     return do.independent_domains(ev.edge_domains(v.members), v.claims, ["child_slug"])
 
 
+@query
+def dossiers(v: Views) -> DataFrame:
+    """The dossier of every entity, its first three cards as texts."""
+    claims = v.claims.withColumn("value", F.regexp_replace(F.initcap("value"), "= N", "= The N"))
+    out = do.dossiers(v.strains, claims, v.edges, v.members, v.sources, cards=3, key="claim_key")
+    card = lambda c: F.concat_ws("|", c["assertion"], c["source_count"], c["tier"], c["wayback_url"])
+    return out.select("slug", "accounts", "conflicting", "malformed", "green", "amber", "red", "domains", "sources", "hidden",
+                      F.array_join(F.transform("cards", card), " / ").alias("cards"))
+
+
 @query
 def source_trail(v: Views) -> DataFrame:
     return do.source_trail(v.members, v.claims.filter(~F.col("quarantined")))

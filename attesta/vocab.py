@@ -242,4 +242,5 @@ EXCERPT_CHARS = 220
 PACK_TEXT_CHARS = 2400
 PACK_TOTAL_CHARS = 14000
 ARCHIVE_LOOKUPS = 10
+DOSSIER_CARDS = 12        # of one page; not a fixed value of the data model
 MAX_HOPS = 3
