@@ -121,3 +121,29 @@ select cast(n as varchar) as run_id, cast(case s when 3 then 3 when 5 then 1 els
        case when s = 0 then 'Kid ' || n || ' is a hybrid cultivar from the coast. It flowers early.' end as summary,
        case when s = 0 then 'https://r.example.com/' || n || '/1' end as summary_source_url
 from (select p_partkey as n, p_partkey % 7 as s from part)"""
+
+O["claims_inserted"] = wv("rclaims", """
+select child_slug, value, source_url, arg_min(milli, seq) as milli, min(seq) as created_at from (
+  select regexp_replace(lower(child), '\\s+', '-', 'g') as child_slug, source_url, milli, seq,
+         child || ' = ' || array_to_string(list_filter(list_concat([parent_a, parent_b], extras), lambda x: x <> ''), ' × ') as value
+  from rclaims) group by 1, 2, 3""")
+
+O["stated_roles"] = """
+select p_partkey, case p_partkey % 5 when 0 then 'female' when 2 then 'male' when 4 then 'male' end as a_role,
+       case p_partkey % 5 when 1 then 'male' when 2 then 'female' end as b_role from part"""
+
+O["utc_dates"] = wv("log", """
+select event_id, case when k % 5 = 0 then '' else strftime(to_timestamp(tm) at time zone 'UTC', '%Y-%m-%d') end as day from log""")
+
+O["cleared_profiles"] = wv("strains", """
+select slug, case when k % 4 = 2 then 'https://img.example.com/' || k end as image_url,
+       case when k % 3 = 0 then name || ' is a hybrid cultivar.' when k % 3 = 1 and k % 2 = 1 then name || ' is a song.' end as summary,
+       case when k % 2 = 0 and k % 3 <> 1 then 'https://w.example.org/' end as summary_source_url
+from (select *, cast(slug[2:] as bigint) as k from strains)""")
+
+O["run_stage_details"] = wv("rclaims", """
+select run_id, 'hunter' as stage, pos, source_url as detail
+from (select *, row_number() over (partition by run_id order by seq) as pos from rclaims) where pos <= 5
+union all
+select run_id, 'connector', pos, child || ' ← ' || parent_a || ' × ' || parent_b
+from (select *, row_number() over (partition by run_id order by seq) as pos from rclaims) where pos <= 8""")

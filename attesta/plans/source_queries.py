@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta import schemas as S
+from attesta.functions import language as lang
+from attesta.functions import text as tx
 from attesta.operators import aliases as al
 from attesta.operators import cache as ca
+from attesta.operators import claims as cl
 from attesta.operators import curate as cu
+from attesta.operators import extract as ex
 from attesta.operators import research as rs
 from attesta.operators import upserts as up
 from attesta.plans.evidence_views import Views
@@ -264,3 +268,59 @@ def research_sources(v: Views) -> DataFrame:
     out = _research(v)
     return (out["visited"].groupBy("run_id").agg(F.count(F.lit(1)).alias("visited"), F.count_distinct("url").alias("urls"))
             .join(out["summaries"].select("run_id", "summary", "summary_source_url"), "run_id", "left"))
+
+
+# --- rules that no other query shows ----------------------------------------
+
+@query
+def claims_inserted(v: Views) -> DataFrame:
+    """Claims of the runs put on file in two steps; the first of (child, assertion, URL) stands."""
+    parents = F.filter(F.concat(F.array("parent_a", "parent_b"), "extra_parents"), lambda p: p != "")
+    stated = v.run_claims.select(
+        tx.slug("child").alias("child_slug"), F.lit("LINEAGE").alias("type"), tx.assertion_text("child", parents).alias("value"),
+        F.lit("ANECDOTAL").alias("trust_tier"), "confidence", "source_url", F.col("snippet_excerpt").alias("excerpt"),
+        F.col("seq").alias("created_at"), F.lit(False).alias("quarantined"),
+        up.order_of("seq", "run_id", F.lit(0)).alias("seq"))
+    middle = v.run_claims.agg(F.floor(F.avg("seq")).alias("s")).first()["s"] or 0
+    early = F.col("seq.at") < middle
+    filed = up.insert_claims(up.insert_claims(S.conform(stated.limit(0), S.CLAIMS), stated.filter(early)), stated)
+    return filed.select("child_slug", "value", "source_url", F.floor(F.col("confidence") * 1000 + 0.5).alias("milli"), "created_at")
+
+
+@query
+def stated_roles(v: Views) -> DataFrame:
+    """Roles of the two parents of a sentence, where it says them."""
+    p, shape = F.col("p_partkey"), F.col("p_partkey") % 5
+    a, b = F.concat(F.lit("Alpha"), p), F.concat(F.lit("Beta"), p)
+    said = (F.when(shape == 0, F.concat(a, F.lit(" (female) × "), b))
+            .when(shape == 1, F.concat(a, F.lit(" × "), b, F.lit("; pollen donor: "), b))
+            .when(shape == 2, F.concat(b, F.lit(" is the mother, "), a, F.lit(" (father)")))
+            .when(shape == 3, F.concat(F.lit("mother of all, "), a, F.lit(" × "), b))
+            .otherwise(F.concat(F.lit("fathered by "), a, F.lit(" and bred with "), b)))
+    roles = lang.parent_roles(F.array(a, b), said)
+    return v.table("part").select(p, F.element_at(roles, a).alias("a_role"), F.element_at(roles, b).alias("b_role"))
+
+
+@query
+def utc_dates(v: Views) -> DataFrame:
+    return v.log.select("event_id", tx.utc_date(F.when(F.col("k") % 5 != 0, F.col("at"))).alias("day"))
+
+
+@query
+def cleared_profiles(v: Views) -> DataFrame:
+    """Lead pictures and summaries of other pages go from the profiles; the rest stays."""
+    k = F.regexp_extract("slug", r"(\d+)", 1).cast("bigint")
+    picture = (F.when(k % 4 == 0, F.concat(F.lit("https://upload.WIKIMEDIA.org/"), k)).when(k % 4 == 1, "https://en.wikipedia.org/x.png")
+               .when(k % 4 == 2, F.concat(F.lit("https://img.example.com/"), k)))
+    about = F.when(k % 3 == 0, F.concat("name", F.lit(" is a hybrid cultivar."))).when(k % 3 == 1, F.concat("name", F.lit(" is a song.")))
+    told = v.strains.withColumns({"image_url": picture, "summary": about, "summary_source_title": F.col("name"),
+                                  "summary_source_url": F.when(k % 2 == 0, "https://w.example.org/")})
+    out = ex.drop_off_subject_summaries(ex.drop_lead_images(told))
+    return out.select("slug", "image_url", "summary", "summary_source_url")
+
+
+@query
+def run_stage_details(v: Views) -> DataFrame:
+    """The first five sources and eight links of each run."""
+    visited = v.run_claims.select("run_id", "seq", F.col("source_url").alias("url"))
+    return cl.stage_details(visited, v.run_claims).select("run_id", "stage", F.col("pos").cast("bigint").alias("pos"), "detail")
