@@ -94,8 +94,8 @@ def _names(df: DataFrame, *columns: str | Column) -> DataFrame:
     return df.select(values.alias("name")).filter("name <> ''").distinct()
 
 
-def affected(spark: SparkSession, root: str, docs: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The part of every table that merging ``docs`` can read or change, and the documents' claims' children.
+def affected(spark: SparkSession, root: str, docs: DataFrame) -> dict[str, DataFrame]:
+    """The part of every table that merging ``docs`` can read or change.
 
     Complete because (1) edges and tiers of a child depend on its own
     observations and on whose aliases their parents are; (2) a row that waits is
@@ -128,12 +128,12 @@ def affected(spark: SparkSession, root: str, docs: DataFrame) -> tuple[dict[str,
     names = materialize(names.unionByName(owners(names)).distinct(), "names")
     urls = rn.visited_sources(docs).select("url").distinct()
     part = {"lineage_sources": obs,
-            "strains": _rows_of(spark, root, "strains", ddl["strains"], "slug", names),
+            "strains": materialize(_rows_of(spark, root, "strains", ddl["strains"], "slug", names), "strains"),
             "claims": _rows_of(spark, root, "claims", ddl["claims"], "child_slug", children),
             "lineage_edges": _rows_of(spark, root, "lineage_edges", ddl["lineage_edges"], "child_slug", children),
             "sources": _rows_of(spark, root, "sources", ddl["sources"], "url", urls),
             "research_runs": _rows_of(spark, root, "research_runs", ddl["research_runs"], "id", docs.select("run_id"))}
-    return {t: materialize(S.conform(df, ddl[t]), t) for t, df in part.items()}, children
+    return {t: S.conform(df, ddl[t]) for t, df in part.items()}
 
 
 def merge_batches(root: str, raw: DataFrame | None = None):
@@ -146,9 +146,10 @@ def merge_batches(root: str, raw: DataFrame | None = None):
         docs = materialize(docs.join(done.select(F.col("id").alias("run_id")), "run_id", "left_anti"), "docs")
         if docs.isEmpty():
             return
-        before, _ = affected(spark, root, docs)
+        before = affected(spark, root, docs)
         after = mg.merge_runs({t: df for t, df in before.items() if t != "lineage_edges"}, docs, raw)
-        after = {t: materialize(S.conform(after[t], tb.TABLES[t]), t) for t in tb.TABLES}
+        after = {t: S.conform(after[t], tb.TABLES[t]) for t in tb.TABLES}
+        after |= {t: materialize(after[t], t) for t in ("strains", "claims")}  # the others are stored or small
         _append(gt.pending(after["lineage_sources"]).select("parent_slug", "child_slug"), root, "waiting", "parent_slug", batch_id)
         _append(al.alias_pairs(after["strains"]), root, "aliases", "alias", batch_id)
         for table in (*[t for t in tb.TABLES if t != "research_runs"], "research_runs"):
