@@ -44,7 +44,7 @@ def test_windows_give_the_tokenizers_counts(spark, tokenizer):
     docs = rows_of(spark, texts)
     want = Counter((r["doc_id"], len((r["text"] or "").encode()),
                     len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
-    for chunk, overlap in ((256, 64), (1000, 30), (32_768, 1024)):
+    for chunk, overlap in ((256, 64), (32_768, 1024)):
         got = token_counts.count_tokens(docs, chunk=chunk, overlap=overlap, limit=100, keep=("doc_id", "_tag", "n_tokens"))
         rows = got.collect()
         assert got.columns == ["doc_id", "_tag", "n_bytes", "n_tokens", "over_limit"]
@@ -80,9 +80,8 @@ def test_overlap_has_to_exceed_the_margin(spark):
 def test_token_counts_of_the_table(spark, tokenizer):
     docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     want = {r["doc_id"]: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect()}
-    for chunk, overlap in ((2048, 128), (32_768, 1024)):
-        got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, chunk=chunk, overlap=overlap).collect()}
-        assert got == want
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, chunk=2048, overlap=128).collect()}
+    assert got == want
 
 
 def aligned_by_hand(texts: list[str | None]) -> list[tuple]:
