@@ -147,3 +147,15 @@ from (select *, row_number() over (partition by run_id order by seq) as pos from
 union all
 select run_id, 'connector', pos, child || ' ← ' || parent_a || ' × ' || parent_b
 from (select *, row_number() over (partition by run_id order by seq) as pos from rclaims) where pos <= 8""")
+
+O["wikitext_articles"] = """
+select n as doc_id, regexp_replace(trim(case n % 6
+    when 0 then 'Intro ' || body
+    when 1 then body || case when body = '' then '' else e'\\n\\n\\n' end
+                || 'name = Nice ' || n || e'\\nhybrid = A × B\\n\\n\\ntail'
+    when 2 then '{{Infobox never ' || body || ' closed'
+    when 3 then 'z'
+    when 4 then case when k = 0 then 'q ' else repeat('{{t|', greatest(k - 10, 0)) || repeat('}}', greatest(k - 10, 0)) || ' ' end || body
+    else 'Bold shown xplain }} ]] [[c ' || body end), ' +', ' ', 'g') as text
+from (select doc_id as n, doc_id % 13 as k, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9.,]+', ' ', 'g')) as body
+      from documents)"""

@@ -324,3 +324,18 @@ def run_stage_details(v: Views) -> DataFrame:
     """The first five sources and eight links of each run."""
     visited = v.run_claims.select("run_id", "seq", F.col("source_url").alias("url"))
     return cl.stage_details(visited, v.run_claims).select("run_id", "stage", F.col("pos").cast("bigint").alias("pos"), "detail")
+
+
+@query
+def wikitext_articles(v: Views) -> DataFrame:
+    """Whole documents inside six kinds of markup: nested, closed late, never closed, links, an infobox of several lines."""
+    n, k, nl = F.col("doc_id"), F.col("doc_id") % 13, F.lit("\n")
+    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9.,]+", " "))
+    box = F.concat(F.lit("{{Infobox cultivar\n| name = [[N|Nice]] "), n, F.lit("\n| hybrid = A ×\n\n B{{ref|x}}\n| empty =\n}}"))
+    markup = (F.when(n % 6 == 0, F.concat(F.lit("Intro {{cite|a {{b}} c}}"), body))
+              .when(n % 6 == 1, F.concat(body, nl, box, nl, F.lit("tail")))
+              .when(n % 6 == 2, F.concat(F.lit("{{Infobox never "), body, F.lit(" closed {{x}}")))
+              .when(n % 6 == 3, F.concat(F.lit("{{x|{{Infobox y\n|a = "), body, F.lit("\n}}}}z")))
+              .when(n % 6 == 4, F.concat(F.repeat(F.lit("{{t|"), k.cast("int")), F.lit("q"), F.repeat(F.lit("}}"), k.cast("int")), F.lit(" "), body))
+              .otherwise(F.concat(F.lit("'''Bold''' [[link|shown]] <ref>x</ref>[[plain]] }} ]] [[c "), body)))
+    return v.table("documents").select(n, lang.wikitext_to_text(markup).alias("text"))

@@ -237,6 +237,7 @@ CLAIM_BUDGET = 24           # claims shown with a neighbourhood
 TOP_CLAIMS = 6              # claims shown on the wheel
 LEAD_SENTENCES = 3
 LEAD_CHARS = 400
+TEMPLATE_LEVELS = 10
 LEAD_MIN_FRAGMENT = 12
 EXCERPT_CHARS = 220
 PACK_TEXT_CHARS = 2400
