@@ -90,15 +90,17 @@ with srows as (select row_number() over () as rid, source as owner, doc_id as re
             where length(v) >= [6, 20, 24, 20][rank + 1]),
   lone as (select * from cands c where rank < 3 or ({_LIVE} and not exists (
              select 1 from cands b where b.rid = c.rid and b.rank < 3 and b.s < c.e and b.e > c.s))),
-  owned as (select v, count(distinct coalesce(owner, chr(1))) as owners from lone group by v),
-  marked as (select l.*, owners, ({_LIVE}) and owners <= 2 as live,
+  texts as (select rid, sha256(t) as content from srows),
+  owned as (select v, count(distinct coalesce(owner, chr(1))) > 2 or count(distinct coalesce(owner, chr(1)) || content) > 20 as example
+            from lone join texts using (rid) group by v),
+  marked as (select l.*, example, ({_LIVE}) and not example as live,
                     ['assign', 'access', 'hex', 'token'][rank + 1] || ':' || s || ':' || e as label
              from lone l join owned using (v)),
   listed as (select rid, count(*) filter (where rank = 0) as n0, count(*) filter (where rank = 1) as n1,
                     count(*) filter (where rank = 2) as n2,
                     string_agg(label, ',' order by s, rank) filter (where rank < 3) as base,
                     string_agg(label, ',' order by s, rank) as spans,
-                    count(*) filter (where live) as n_live, count(*) filter (where owners > 2) as n_example
+                    count(*) filter (where live) as n_live, count(*) filter (where example) as n_example
              from marked where rank < 3 or live group by rid)
 select repo as doc_id, coalesce(n0, 0)::bigint as n_assign, coalesce(n1, 0)::bigint as n_access,
        coalesce(n2, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,

@@ -161,6 +161,18 @@ def test_secret_scan(spark):
     assert by_id[8].spans == "assign:0:30", "a base span covers its token"
 
 
+def test_secrets_copied_over_one_owner(spark):
+    wide, narrow, copied = "wQ1e2R3t4Y5u6I7o8P9a0S1d", "nZ9x8C7v6B5n4M3q2W1e0R9t", "cL1k2J3h4G5f6D7s8A9p0O1i"
+    rows = [(i, f"part {i} shows {wide}", "hot") for i in range(300)]
+    rows += [(400 + i, f"part {i} holds {narrow}", "hot") for i in range(secret_scan.MAX_REPOS)]
+    rows += [(600 + i, f"one page with {copied}", None) for i in range(300)]
+    got = {r.doc_id: r for r in secret_scan.scan(cases.frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].spans == "" and got[i].n_live == 0 for i in range(300)), "many repositories of one owner: an example"
+    assert all(got[i].n_live == 1 and got[i].spans.startswith("token:") for i in range(400, 400 + secret_scan.MAX_REPOS))
+    assert all(got[i].n_live == 1 for i in range(600, 900)), "exact copies are one repository"
+
+
 @pytest.mark.parametrize("run", [
     lambda d: host_quality.judge(host_quality.measure(d), host_quality.host_verdicts(host_quality.measure(d))),
     minhash_forest.join, chunk_dedup.dedup, line_dedup.dedup_lines, secret_scan.scan], ids=["1", "2", "6", "8", "5"])
