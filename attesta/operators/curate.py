@@ -40,7 +40,7 @@ def apply_reviews(strains: DataFrame, edges: DataFrame, events: DataFrame) -> tu
     """
     ev = events.withColumns({"slug": tx.slug("slug"), "tier": F.upper(tx.strip("tier"))})
     known = strains.select("slug", F.lit(True).alias("known"))
-    checked = ev.join(known, "slug", "left").withColumn(
+    checked = ev.join(al.entity_side(known), "slug", "left").withColumn(
         "error", F.when(F.col("known").isNull(), "unknown entity")
         .when(F.col("tier").isNotNull() & ~F.col("tier").isin(*V.CURATABLE_TIERS), "tier not assignable"))
     final = _latest(checked.filter(F.col("error").isNull()).select("slug", "tier", "note", "at", "seq"),
@@ -104,7 +104,7 @@ def materialize_entities(strains: DataFrame, wanted: DataFrame) -> DataFrame:
     if "name" in wanted.columns:
         name = F.coalesce(F.nullif(tx.strip(tx.text_of("name")), F.lit("")), name)
     fresh = (wanted.withColumn("__name", name)
-             .join(al.alias_map(strains).select(F.col("alias").alias("slug")), "slug", "left_anti"))
+             .join(al.entity_side(al.alias_map(strains).select(F.col("alias").alias("slug"))), "slug", "left_anti"))
     rows = fresh.select("slug", F.col("__name").alias("name"), F.lit("resolved").alias("origin"),
                         F.col("at").alias("first_seen"), F.col("at").alias("last_researched"))
     defaults = S.conform(rows, S.STRAINS)
@@ -183,7 +183,7 @@ def fold_alias_events(strains: DataFrame, events: DataFrame) -> DataFrame:
     ev = events.withColumns({"slug": tx.slug("slug"), "alias": tx.slug("alias")})
     ev = al.resolve(ev, pairs, "slug")
     owners = pairs.select("alias", F.col("slug").alias("on_record"))
-    slugs = strains.select("slug")
+    slugs = al.entity_side(strains.select("slug"))
     ready = (ev.join(slugs.select(F.col("slug").alias("alias"), F.lit(True).alias("is_slug")), "alias", "left")
              .join(slugs.select("slug", F.lit(True).alias("on_file")), "slug", "left")
              .select("alias", F.col("seq").cast("bigint").alias("seq"), "op", "slug",
@@ -258,7 +258,7 @@ def resolve_parents(obs: DataFrame, claims: DataFrame, strains: DataFrame, event
     pairs = al.alias_pairs(strains)
     waiting = gt.pending(obs).groupBy("parent_slug").agg(F.count(F.lit(1)).alias("waiting"))
     ev = events.withColumns({"parent_slug": tx.slug("parent_slug"), "alias_of": tx.slug("alias_of")})
-    slugs = strains.select("slug")
+    slugs = al.entity_side(strains.select("slug"))
     checked = (ev.join(waiting, "parent_slug", "left")
                .join(slugs.select(F.col("slug").alias("alias_of"), F.lit(True).alias("target")), "alias_of", "left")
                .join(slugs.select(F.col("slug").alias("parent_slug"), F.lit(True).alias("is_slug")), "parent_slug", "left")

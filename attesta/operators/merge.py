@@ -54,7 +54,7 @@ def _batch_aliases(strains: DataFrame, names: DataFrame) -> DataFrame:
         return F.struct(F.col(f"{c}.at"), F.col(f"{c}.run_id"))
 
     created = (table.join(taken, "alias", "left_anti").join(own, "owner")
-               .join(strains.select(F.col("slug").alias("owner")), "owner", "left_anti")
+               .join(al.entity_side(strains.select(F.col("slug").alias("owner"))), "owner", "left_anti")
                .join(self_born, "alias", "left")
                .filter(F.col("alias_born").isNull() | (run_of("owner_born") < run_of("alias_born")))
                .select("alias", "owner", F.col("owner_born.at").alias("after_at"),
@@ -111,7 +111,7 @@ def merge_runs(tables: dict[str, DataFrame], docs: DataFrame, raw: DataFrame | N
     created = (_resolve(names.withColumn("own", F.col("slug")).drop("slug"), pairs, "own", "slug")
                .groupBy("slug").agg(F.min("seq").alias("born")))
     exists = (strains.select("slug").withColumn("born", F.lit(None).cast("struct<at:bigint,run_id:string,pos:bigint>"))
-              .unionByName(created.join(strains.select("slug"), "slug", "left_anti")))
+              .unionByName(created.join(al.entity_side(strains.select("slug")), "slug", "left_anti")))
     known = resolved.join(exists.select(F.col("slug").alias("parent_slug"), "born",
                                         F.lit(True).alias("on_file")), "parent_slug", "left")
     known = known.withColumn("parent_known", F.coalesce(
@@ -134,7 +134,7 @@ def merge_runs(tables: dict[str, DataFrame], docs: DataFrame, raw: DataFrame | N
     # The stored spelling stays; only a new entity takes the observed name.
     stored = strains.select("slug", F.col("name").alias("stored"))
     opening = touched.groupBy("slug").agg(F.min_by("name", "seq").alias("opening"))
-    touched = (touched.join(stored, "slug", "left").join(opening, "slug")
+    touched = (touched.join(al.entity_side(stored), "slug", "left").join(opening, "slug")
                .withColumn("name", F.coalesce("stored", "opening")).drop("stored", "opening"))
     entities = up.upsert_strains(strains, touched)
     attach = pairs.filter(F.col("after_run").isNotNull()).groupBy(F.col("owner").alias("slug")).agg(

@@ -10,6 +10,7 @@ from attesta.functions import text as tx
 from attesta.functions import urls as ur
 from attesta.operators import aliases as al
 from attesta.operators import evidence as ev
+from attesta.operators import gate as gt
 from attesta.operators import graph as gr
 from attesta.operators import readers as rd
 
@@ -114,6 +115,23 @@ def test_aliases(spark):
     assert found["CHEMDAWG"] == "chemdawg" and found["Unknown One"] is None
 
 
+def test_entities_are_never_broadcast(spark):
+    """A lookup side that looks small by its file may be long: rows exploded from one."""
+    few = spark.createDataFrame([(1,)], "k long")
+    long = few.select(F.explode(F.sequence(F.lit(0), F.lit(2000))).alias("k")).select(
+        F.concat(F.lit("n"), "k").alias("slug"), F.concat(F.lit("N"), "k").alias("name"), F.array(F.concat(F.lit("a"), "k")).alias("aliases"))
+    names = spark.createDataFrame([("N7",), ("a9",), ("x",)], "name string")
+    found = al.identify(names, long)
+    assert {r.name: r.identity for r in found.collect()} == {"N7": "n7", "a9": "n9", "x": "x"}
+    for df in (al.alias_pairs(long), found.select("name", "display_name"), al.find_entity(names, long)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        builds = plan.count("LeftAnti, BuildRight")
+        assert builds == 0 and "SortMergeJoin" in plan
+    obs = spark.createDataFrame([("c", "n5"), ("c", "a6"), ("d", "q")], "child_slug string, parent_slug string")
+    known = {r.parent_slug: r.parent_known for r in gt.mark_known(obs, long).collect()}
+    assert known == {"n5": True, "a6": True, "q": False}
+
+
 def test_url_rules(spark):
     cases = {
         "https://www.Leafly.com/x": "leafly.com", "http://ca.leafly.com:80/": "leafly.com",
