@@ -123,11 +123,11 @@ def in_provider_order(results: DataFrame, provider: str = "provider") -> DataFra
 
 
 def availability(payloads: DataFrame) -> DataFrame:
-    """Archive-availability answers ``(url, payload)``; anything odd is a miss."""
+    """Archive-availability answers ``(url, payload)``; anything odd is a miss. Further columns stay."""
     doc = ("archived_snapshots STRUCT<closest: STRUCT<url: STRING, timestamp: STRING, status: STRING>>")
     hit = F.col("d.archived_snapshots.closest")
     df = payloads.withColumn("d", F.from_json("payload", doc))
     ok = tx.text_of(hit["url"]) != ""
-    return df.select("url", ok.alias("archived"), F.when(ok, hit["url"]).alias("wayback_url"),
+    return df.select(*[c for c in payloads.columns if c not in ("url", "payload")], "url", ok.alias("archived"), F.when(ok, hit["url"]).alias("wayback_url"),
                      F.when(ok, ur.archive_epoch(hit["timestamp"])).alias("archived_at"),
                      F.when(ok, hit["status"]).alias("available_status"))

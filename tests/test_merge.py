@@ -238,3 +238,16 @@ def test_captures_and_lookups(spark):
                                   "url string, archived boolean, wayback_url string, archived_at long")
     done = {r.url: r.wayback_url for r in up.record_lookups(visited, src, avail, 50).collect()}
     assert done["u2"] == "w" and "u14" not in done     # the eleventh and later wait
+
+
+def test_captures_of_pages_that_share_a_url(spark):
+    """Records told apart by a page number: each has its own lookup and its own capture."""
+    src = spark.createDataFrame([(1, "u", "one", None), (2, "u", "two", "w0"), (3, "u", "three", None)],
+                                "page long, url string, title string, wayback_url string")
+    visited = spark.createDataFrame([("r", "u", n, n) for n in (1, 2, 3)], "run_id string, url string, page long, seq long")
+    waiting = up.pending_lookups(visited, src, None, within=["page"])
+    assert sorted((r.page, r.rank) for r in waiting.collect()) == [(1, 1), (3, 2)]
+    avail = spark.createDataFrame([("u", 1, True, "w1", 9), ("u", 2, True, "w2", 9)],
+                                  "url string, page long, archived boolean, wayback_url string, archived_at long")
+    done = up.record_lookups(visited, src, avail, 50, None, within=["page"])
+    assert sorted((r.page, r.title, r.wayback_url) for r in done.collect()) == [(1, "one", "w1"), (2, "two", "w0"), (3, "three", None)]
