@@ -89,10 +89,11 @@ def apply_quarantines(obs: DataFrame, claims: DataFrame, strains: DataFrame, eve
             "quarantined": F.when(F.col("__set"), F.col("__q")).otherwise(F.col("quarantined")),
         }).select(*df.columns)
 
-    new_obs = decide(obs, _latest(sound, gt.OBS_KEY), gt.OBS_KEY, F.lit(True))
+    by_key = sound.groupBy(*gt.OBS_KEY).agg(F.max_by("quarantined", "seq").alias("quarantined"))
+    new_obs = decide(obs, by_key, gt.OBS_KEY, F.lit(True))
     per_url = ["child_slug", "source_url"]
-    new_claims = decide(claims, _latest(sound.drop("parent_slug"), per_url), per_url,
-                        F.col("type") == "LINEAGE")
+    by_url = sound.groupBy(*per_url).agg(F.max_by("quarantined", "seq").alias("quarantined"))
+    new_claims = decide(claims, by_url, per_url, F.col("type") == "LINEAGE")
     approved = (sound.filter(~F.col("quarantined")).groupBy(F.col("parent_slug").alias("slug"))
                 .agg(F.min("at").alias("at")))
     return new_obs, new_claims, materialize_entities(strains, approved), errors
