@@ -10,11 +10,15 @@ from pyspark.sql import types as T
 from attesta import schemas as S
 from attesta.functions import text as tx
 from attesta.operators import claims as cl
+from attesta.session import materialize
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Ledger rows of text lines; blank and malformed lines disappear."""
-    row = F.from_json(F.col(column), S.LEDGER_ROW, {"mode": "PERMISSIVE"})
+def parse_lines(lines: DataFrame, column: str = "value", fields: str = S.LEDGER_ROW) -> DataFrame:
+    """Ledger rows of text lines; blank and malformed lines disappear.
+
+    ``fields`` may name fewer fields (with ``kind``), which costs less.
+    """
+    row = F.from_json(F.col(column), fields, {"mode": "PERMISSIVE"})
     return (lines.filter(tx.nonblank(column)).select(row.alias("r"))
             .filter(F.col("r.kind").isNotNull()).select("r.*"))
 
@@ -74,11 +78,12 @@ RUN_BUCKETS = 64
 
 
 def _written(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
-    """Ledger rows of some buckets, and of files that lie in none (older ledgers)."""
-    rows = spark.createDataFrame([], S.struct_of(S.LEDGER_ROW))
+    """Kind and run of the ledger rows of some buckets, and of files that lie in none (older ledgers)."""
+    fields = "kind STRING, run_id STRING"
+    rows = spark.createDataFrame([], S.struct_of(fields))
     for part in [f"{path}/part-*", *[f"{path}/bucket={b}" for b in buckets]]:
         try:
-            rows = rows.unionByName(parse_lines(spark.read.text(part)))
+            rows = rows.unionByName(parse_lines(spark.read.text(part), fields=fields))
         except AnalysisException:  # nothing there yet
             pass
     return rows
@@ -92,9 +97,11 @@ def append(spark: SparkSession, path: str, runs: DataFrame, visited: DataFrame,
     path, bucket = path.rstrip("/"), F.pmod(F.xxhash64("run_id"), F.lit(RUN_BUCKETS)).cast("int")
     touched = [r["b"] for r in runs.select(bucket.alias("b")).distinct().collect()]  # RUN_BUCKETS numbers at most
     done = _written(spark, path, touched).filter("kind = 'research_run'").select("run_id").distinct()
-    fresh = runs.join(done, "run_id", "left_anti")
-    lines = ledger_lines(fresh, visited.join(fresh.select("run_id"), "run_id", "left_semi"),
-                         claims.join(fresh.select("run_id"), "run_id", "left_semi"))
+    # The counts of a summary read the claims again and again, so both are stored first.
+    fresh = materialize(runs.join(done, "run_id", "left_anti"), "runs")
+    ids = fresh.select("run_id")
+    told = materialize(claims.join(ids, "run_id", "left_semi"), "claims")
+    lines = ledger_lines(fresh, visited.join(ids, "run_id", "left_semi"), told)
     # A run lies in one file, its summary before its claims.
     lines = lines.withColumn("bucket", bucket).repartition("run_id").sortWithinPartitions("bucket", "run_id", "seq")
     lines.select("bucket", "value").write.mode("append").partitionBy("bucket").text(path)

@@ -108,6 +108,22 @@ def test_ledger_round_trip(spark, tmp_path):
     assert lg.claims_of_entity(rows, "b", 2).count() == 2 and lg.claims_of_entity(rows, " ").count() == 0
 
 
+def test_append_works_out_claims_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(child):
+        seen.add(1)
+        return child
+
+    claims = cl.stamp_tiers(claim_rows(spark, CLAIMS[:3])).withColumn("child", F.udf(told)("child"))
+    runs = spark.createDataFrame([("r", "Kid", 1, 9, ["w"], None)],
+                                 "run_id string, query string, started_at long, completed_at long, providers_used array<string>, error string") \
+        .withColumns({"llm_usage": F.lit(None).cast(f"struct<{S.USAGE}>"), "cache_usage": F.lit(None).cast(f"struct<{S.CACHE_USAGE}>")})
+    visited = spark.createDataFrame([("r", "u", "e")], "run_id string, url string, engine string")
+    lg.append(spark, str(tmp_path / "ledger"), runs, visited, claims)
+    assert seen.value == lg.read_claims(spark, str(tmp_path / "ledger")).count() == 3
+
+
 def test_raw_files_and_tables(spark, tmp_path):
     res = spark.createDataFrame([("r1", "T", "u", "s", "w")], "run_id string, title string, url string, snippet string, source string")
     rn.write_raw(res, str(tmp_path / "raw"))
