@@ -23,7 +23,7 @@ from attesta.functions import text as tx
 from attesta.operators import aliases as al
 from attesta.operators import gate as gt
 from attesta.operators import merge as mg
-from attesta.session import materialize
+from attesta.session import materialize, write_step
 from attesta.sources import runs as rn
 from attesta.sources import tables as tb
 
@@ -136,12 +136,16 @@ def affected(spark: SparkSession, root: str, docs: DataFrame) -> dict[str, DataF
     return {t: S.conform(df, ddl[t]) for t, df in part.items()}
 
 
-def merge_batches(root: str, raw: DataFrame | None = None):
-    """``foreachBatch`` function that merges run documents into the tables under ``root``."""
+def merge_batches(root: str, raw: DataFrame | None = None, session: SparkSession | None = None):
+    """``foreachBatch`` function that merges run documents into the tables under ``root``.
+
+    ``session`` is the caller's: a stream's own has adaptive execution switched off.
+    """
 
     def merge(docs: DataFrame, batch_id: int) -> None:
-        spark = docs.sparkSession
-        docs = materialize(S.conform(docs, S.RUN_DOCUMENT).filter(F.col("run_id").isNotNull()), "docs")
+        spark = session or docs.sparkSession
+        docs = S.conform(docs, S.RUN_DOCUMENT).filter(F.col("run_id").isNotNull())
+        docs = spark.read.schema(docs.schema).parquet(write_step(docs, "docs"))
         done = _rows_of(spark, root, "research_runs", tb.TABLES["research_runs"], "id", docs.select("run_id"))
         docs = materialize(docs.join(done.select(F.col("id").alias("run_id")), "run_id", "left_anti"), "docs")
         if docs.isEmpty():
@@ -160,10 +164,14 @@ def merge_batches(root: str, raw: DataFrame | None = None):
 
 def merge_stream(spark: SparkSession, docs_path: str, root: str, checkpoint: str,
                  files_per_batch: int | None = None, trigger: dict | None = None):
-    """Start merging run documents as they land in ``docs_path``."""
+    """Start merging run documents as they land in ``docs_path``.
+
+    A batch takes some fifty jobs however few documents it holds, so ``files_per_batch`` should grow with
+    the number of files.
+    """
     reader = spark.readStream.schema(S.struct_of(S.RUN_DOCUMENT))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return (reader.json(docs_path).writeStream.foreachBatch(merge_batches(root))
+    return (reader.json(docs_path).writeStream.foreachBatch(merge_batches(root, session=spark))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

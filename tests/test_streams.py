@@ -10,6 +10,7 @@ from attesta import schemas as S
 from attesta.operators import aliases as al
 from attesta.operators import evidence as ev
 from attesta.operators import merge as mg
+from attesta.plans.queries import QUERIES as graph_queries
 from attesta.sources import tables as tb
 from attesta.streaming import ingest as ig
 from attesta.streaming import tiers as ti
@@ -124,3 +125,20 @@ def test_tier_batches_are_plain_table_work_and_replay(spark, tmp_path):
     assert ti.changes(spark, out).count() == 202
     touched = {p.parent.name for p in (tmp_path / "log" / "members").rglob("batch=1/*/*.parquet")}
     assert 1 <= len(touched) <= 2
+
+
+def test_merge_query_takes_two_batches_however_many_files(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ig, "merge_batches", lambda root, **_: lambda docs, batch_id: seen.append((batch_id, docs.count())))
+    data = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{data}/events.parquet").select(F.floor(F.col("event_id") / 25)).distinct().count()
+    conf = {"spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    for k, value in conf.items():
+        spark.conf.set(k, value)
+    try:
+        graph_queries["stream_merge_equals_batch"](spark, data)
+    finally:
+        for k, value in kept.items():
+            spark.conf.set(k, value)
+    assert len(seen) == 2 and sum(n for _, n in seen) == want
